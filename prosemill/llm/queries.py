@@ -6,13 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from prosemill.llm import language_id, mixing
+from prosemill.llm import language_id, mixing, packing, token_output
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_output.round_trip(_docs(spark, sf_dir))
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_docs(spark, sf_dir))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(_docs(spark, sf_dir))
 
@@ -22,7 +30,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op9_language_id": op9_language_id, "op10_mixing": op10_mixing}
+    return {"op5_token_output": op5_token_output, "op8_packing": op8_packing, "op9_language_id": op9_language_id, "op10_mixing": op10_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
