@@ -6,13 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from prosemill.llm import language_id, mixing, packing, token_output
+from prosemill.llm import embedding_dedup, language_id, mixing, packing, token_output, topk
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+
+
+def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(_vectors(spark, sf_dir))
+
+
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(_vectors(spark, sf_dir))
+
+
 def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.round_trip(_docs(spark, sf_dir))
 
@@ -30,11 +42,11 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_token_output": op5_token_output, "op8_packing": op8_packing, "op9_language_id": op9_language_id, "op10_mixing": op10_mixing}
+    return {"op4_topk": op4_topk, "op5_token_output": op5_token_output, "op7_embedding_dedup": op7_embedding_dedup, "op8_packing": op8_packing, "op9_language_id": op9_language_id, "op10_mixing": op10_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_mixing": MIXING_SQL}
+    return {"op4_topk": TOPK_SQL, "op7_embedding_dedup": EMBEDDING_SQL, "op10_mixing": MIXING_SQL}
 
 
 MIXING_SQL = r"""
@@ -69,3 +81,31 @@ c as (
   from d join p on d.source is not distinct from p.source)
 select doc_id, size, source_size, target, (whole * size + greatest(0, least(size, rest - base)))::bigint as taken from c
 """
+
+TOPK_SQL = """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)) as v from embeddings
+  where embedding is not null and vec_id is not null
+    and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),
+s as (
+  select q.vec_id as query_id, c.vec_id, list_dot_product(q.v, c.v)::bigint as score
+  from v q join v c on q.vec_id <> c.vec_id and len(q.v) = len(c.v) where q.vec_id % 100 = 0)
+select query_id, rank::int as rank, vec_id, score
+from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s) where rank <= 10
+"""
+
+EMBEDDING_SQL = """
+with recursive v as (
+  select vec_id, list_transform(embedding, lambda x: x::double) as v from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0
+    and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+u as (select vec_id, v, sqrt(list_dot_product(v, v)) as n from v),
+e as (select a.vec_id as a, b.vec_id as b from u a join u b
+      on a.vec_id <> b.vec_id and list_dot_product(a.v, b.v) / (a.n * b.n) >= 0.9),
+r as (select vec_id as node, vec_id as root from u union select e.b, r.root from r join e on e.a = r.node),
+c as (select node, min(root) as component_id from r group by node),
+k as (select a, count(*) as n from e group by a)
+select x.vec_id, coalesce(k.n, 0)::bigint as n_links, coalesce(c.component_id, x.vec_id) as component_id,
+       x.vec_id = coalesce(c.component_id, x.vec_id) as kept
+from embeddings x left join c on c.node = x.vec_id left join k on k.a = x.vec_id
+"""
