@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from prosemill.llm import embedding_dedup, language_id, mixing, packing, token_output, topk
+from prosemill.llm import embedding_dedup, language_id, license_scan, mixing, packing, pii, token_output, topk
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +17,14 @@ def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(_docs(spark, sf_dir))
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(_docs(spark, sf_dir))
+
+
 def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(_vectors(spark, sf_dir))
 
@@ -42,11 +50,11 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_topk": op4_topk, "op5_token_output": op5_token_output, "op7_embedding_dedup": op7_embedding_dedup, "op8_packing": op8_packing, "op9_language_id": op9_language_id, "op10_mixing": op10_mixing}
+    return {"op3_pii": op3_pii, "op4_topk": op4_topk, "op6_license_scan": op6_license_scan, "op5_token_output": op5_token_output, "op7_embedding_dedup": op7_embedding_dedup, "op8_packing": op8_packing, "op9_language_id": op9_language_id, "op10_mixing": op10_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_topk": TOPK_SQL, "op7_embedding_dedup": EMBEDDING_SQL, "op10_mixing": MIXING_SQL}
+    return {"op4_topk": TOPK_SQL, "op6_license_scan": license_scan.oracle_sql(), "op7_embedding_dedup": EMBEDDING_SQL, "op10_mixing": MIXING_SQL}
 
 
 MIXING_SQL = r"""
