@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from prosemill.llm import embedding_dedup, language_id, license_scan, mixing, ngram_join, packing, pii, token_output, topk
+from prosemill.llm import embedding_dedup, language_id, license_scan, mixing, ngram_join, packing, pii, substring_dedup, token_output, topk
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(_docs(spark, sf_dir), words=3, threshold=(90, 100))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup(_docs(spark, sf_dir)).drop("kept")
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(_docs(spark, sf_dir))
 
@@ -54,7 +58,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_ngram_join": op1_ngram_join, "op3_pii": op3_pii, "op4_topk": op4_topk, "op6_license_scan": op6_license_scan, "op5_token_output": op5_token_output, "op7_embedding_dedup": op7_embedding_dedup, "op8_packing": op8_packing, "op9_language_id": op9_language_id, "op10_mixing": op10_mixing}
+    return {"op1_ngram_join": op1_ngram_join, "op2_substring_dedup": op2_substring_dedup, "op3_pii": op3_pii, "op4_topk": op4_topk, "op6_license_scan": op6_license_scan, "op5_token_output": op5_token_output, "op7_embedding_dedup": op7_embedding_dedup, "op8_packing": op8_packing, "op9_language_id": op9_language_id, "op10_mixing": op10_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
