@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -190,6 +191,30 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model | None:
     return Model(counts) if len(counts) else None
 
 
+def _model_of(shared) -> Model:
+    m = Model.__new__(Model)
+    m.langs, m.symbol, m.space, m.rows, m.bits = shared.value
+    return m
+
+
+def identified(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
+    """The documents that get a language, rows as they came; those that would get ``und`` go."""
+    lettered = docs.where(F.col("text").rlike(r"\p{L}"))
+    model = train(docs, sample_docs)
+    if model is None:
+        return docs.limit(0)
+    shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.symbol, model.space, model.rows, model.bits))
+
+    def keep(batches):
+        m = _model_of(shared)
+        for batch in batches:
+            texts = [t.encode("utf-8", "replace") for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
+            finite = np.isfinite(m.code_lengths(texts).min(1, initial=np.inf))
+            yield batch.filter(pa.array(finite))
+
+    return lettered.mapInArrow(keep, docs.schema)
+
+
 def identify(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     """One row for each document: doc_id, held_out, lang_pred, score (share of the best code in all), bits_per_byte."""
     rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.when(F.col("text").rlike(r"\p{L}"), F.col("text")).alias("text"))
@@ -199,8 +224,7 @@ def identify(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.symbol, model.space, model.rows, model.bits))
 
     def score(frames):
-        m = Model.__new__(Model)
-        m.langs, m.symbol, m.space, m.rows, m.bits = shared.value
+        m = _model_of(shared)
         names = np.array([*m.langs, "und"], object)
         for pdf in frames:
             texts = [t.encode("utf-8", "replace") if t is not None else b"" for t in pdf["text"]]

@@ -96,11 +96,16 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
 
     Returns the columns of ``docs``; documents that the mix does not take are left out.
     """
-    row = F.struct(*[docs[c] for c in docs.columns])
-    m = mix(docs.select("doc_id", "source", "text", row.alias("row")), keep=("row",), **options)
-    whole = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
-    part = F.when(F.col("size") > 0, F.col("taken") % F.col("size")).otherwise(0).cast("int")
-    m = m.select("keep_row", part.alias("part"), F.explode(F.concat(F.array_repeat(F.lit(0), whole), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<int>")))).alias("cut"))
-    text = F.col("keep_row.text")
-    cut = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.lit(1), F.greatest("cut", F.lit(1))), " ")
-    return m.select(*[(F.when(F.col("cut") > 0, cut).otherwise(text) if c == "text" else F.col(f"keep_row.`{c}`")).alias(c) for c in docs.columns])
+    named = ["doc_id", "source", "text"]
+    d = docs.withColumns({"_k1": F.xxhash64(*named), "_k2": F.xxhash64(F.lit(1), *named)})
+    m = mix(d.select(*named, "_k1", "_k2"), keep=("_k1", "_k2"), **options)
+    whole = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(0)
+    part = F.when(F.col("size") > 0, F.col("taken") % F.col("size")).otherwise(0)
+    plan = m.groupBy(F.col("keep__k1").alias("_k1"), F.col("keep__k2").alias("_k2")).agg(F.sum(whole).cast("int").alias("_whole"), F.max(part).cast("int").alias("_part"))
+    plan = plan.where("_whole > 0 or _part > 0")
+    # Rows that repeat a document are taken together, so the text goes through one shuffle.
+    one = d.dropDuplicates(["_k1", "_k2"]).join(plan, ["_k1", "_k2"])
+    last = F.when(F.col("_part") > 0, F.array("_part")).otherwise(F.array().cast("array<int>"))
+    one = one.withColumn("_cut", F.explode(F.concat(F.array_repeat(F.lit(0), F.col("_whole")), last)))
+    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.greatest("_cut", F.lit(1))), " ")
+    return one.select(*[F.when(F.col("_cut") > 0, cut).otherwise(F.col("text")).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])

@@ -9,12 +9,13 @@ tokens count as ordinary text.
 from __future__ import annotations
 
 import re
+from itertools import chain
 
 import numpy as np
 from tokenizers import Tokenizer
 
 #: The memo is dropped when it holds so many pieces.
-MEMO = 500_000
+MEMO = 200_000
 #: Letters for which the library's classes are beyond doubt, and marks that may follow them.
 _PLAIN = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?)\"]*)")
 _SPACE = re.compile(r"\s")
@@ -44,6 +45,7 @@ class Pieces:
     def __init__(self, path: str, spaced: bool):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
         self.spaced = spaced
         self.letters = _byte_letters()
         self.reset()
@@ -55,12 +57,13 @@ class Pieces:
         self.at = np.zeros(1 << 16, np.int64)
         self.size = np.zeros(1 << 16, np.int32)
         self.odd = np.zeros(1 << 16, bool)
-        self.parts: dict[str, list[int]] = {}
+        self.parts: dict[str, tuple[int, ...]] = {}
 
-    def _part(self, s: str) -> list[int]:
+    def _part(self, s: str) -> tuple[int, ...]:
         got = self.parts.get(s)
         if got is None:
-            got = self.parts[s] = [t.id for t in self.tokenizer.model.tokenize(s.encode().decode("latin1").translate(self.letters))]
+            own = s.replace(" ", self.letters[32]) if s.isascii() else s.encode().decode("latin1").translate(self.letters)
+            got = self.parts[s] = tuple([t.id for t in self.model.tokenize(own)])
         return got
 
     def _learn(self) -> None:
@@ -74,17 +77,17 @@ class Pieces:
             m = _PLAIN.fullmatch(p)
             if m:
                 word, mark = m[1] if self.spaced else m[1].strip().lower(), m[2]
-                ids[i] = self._part(word) + (self._part(mark) if mark else [])
+                ids[i] = self._part(word) + (self._part(mark) if mark else ())
             else:
                 hard.append(i)
-                self.odd[first + i] = self.spaced and p != "\n" and (p in ("", " ") or _SPACE.search(p, 1) is not None)
+                self.odd[first + i] = self.spaced and p != "\n" and (p in ("", " ") or _SPACE.search(p, 1) is not None or (p[0] != " " and p[0].isspace()))
         for i, e in zip(hard, self.tokenizer.encode_batch_fast([new[i] for i in hard], add_special_tokens=False), strict=True):
             ids[i] = e.ids
         sizes = np.fromiter(map(len, ids), np.int32, len(ids))
         total = int(sizes.sum())
         while self.used + total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.flat[self.used : self.used + total] = np.fromiter((x for one in ids for x in one), np.uint32, total)
+        self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(ids), np.uint32, total)
         self.at[first : first + len(new)] = self.used + np.cumsum(sizes) - sizes
         self.size[first : first + len(new)] = sizes
         self.used += total
