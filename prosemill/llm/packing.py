@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from prosemill.llm.common import materialize
-from prosemill.llm.wordpieces import Pieces, default_path, in_blocks
+from prosemill.llm.wordpieces import default_path, in_blocks, pieces_for
 
 CAPACITY = 2048
 WIDTH = 8
@@ -112,7 +112,7 @@ def measure(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, spaced:
     """One row a document: its token count and the crc32 of each whole piece and of the remainder."""
 
     def run(frames):
-        pieces, end = Pieces(tokenizer, spaced), np.array([end_id], np.uint32)
+        pieces, end = pieces_for(tokenizer, spaced), np.array([end_id], np.uint32)
         for pdf in frames:
             texts = pdf["text"].tolist()
             n, rem_crc, crcs = [], [], []
@@ -217,7 +217,7 @@ def _cut(docs: DataFrame, cuts: list[tuple], tokenizer: str, end_id: int, spaced
     rows = text.join(F.broadcast(plan), text["doc_id"].eqNullSafe(plan["_d"]) & (text["h"] == plan["_h"]))
 
     def run(frames):
-        pieces, end = Pieces(tokenizer, spaced), np.array([end_id], np.uint32)
+        pieces, end = pieces_for(tokenizer, spaced), np.array([end_id], np.uint32)
         for pdf in frames:
             texts = pdf.pop("text").tolist()
             crc = []

@@ -34,14 +34,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from prosemill.llm.common import blocks_for, fresh_path
-from prosemill.llm.wordpieces import Pieces, default_path, in_blocks
+from prosemill.llm.wordpieces import default_path, in_blocks, pieces_for
 
-SHARD_TOKENS = 1 << 21
+SHARD_TOKENS = 1 << 20
 ROUNDS = 4
 RULES_A_ROUND = 4000
 LEAST = 8
 MAGIC = b"RPG1"
-_BINS = 21
+_BINS = 19
 FILES = "part int, shard int, n_docs long, n_tokens long, payload binary"
 
 
@@ -68,15 +68,18 @@ def compress(ids: np.ndarray, ends: np.ndarray, rounds: int = ROUNDS, per_round:
         if not good.any():
             break
         where = np.flatnonzero(good[bins])
-        keys, inverse, count = np.unique(key[where], return_inverse=True, return_counts=True)
+        own = key[where]
+        line = np.sort(own)
+        head = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))
+        keys, count = line[head], np.diff(np.concatenate([head, [len(line)]]))
         best = np.flatnonzero(count >= least)
-        best = best[np.lexsort((keys[best], -count[best]))][:per_round]
+        best = np.sort(best[np.lexsort((keys[best], -count[best]))][:per_round])
         if not len(best):
             break
-        number = np.full(len(keys), -1, np.int64)
-        number[best] = np.arange(len(best))
-        hit = number[inverse] >= 0
-        where, which = where[hit], number[inverse][hit]
+        chosen = keys[best]
+        which = np.minimum(np.searchsorted(chosen, own), len(chosen) - 1)
+        hit = chosen[which] == own
+        where, which = where[hit], which[hit]
         # In a run of neighbouring occurrences every second one is taken, from the left.
         head = np.concatenate([[True], np.diff(where) != 1])
         start = np.maximum.accumulate(np.where(head, np.arange(len(where)), 0))
@@ -87,7 +90,7 @@ def compress(ids: np.ndarray, ends: np.ndarray, rounds: int = ROUNDS, per_round:
         gone = np.ones(len(seq), bool)
         gone[where + 1] = False
         seq, last = seq[gone], last[gone]
-        rules.append(np.stack([(keys[best] >> np.uint64(32)).astype(np.uint32), (keys[best] & np.uint64(0xFFFFFFFF)).astype(np.uint32)], 1))
+        rules.append(np.stack([(chosen >> np.uint64(32)).astype(np.uint32), (chosen & np.uint64(0xFFFFFFFF)).astype(np.uint32)], 1))
         made += len(best)
     table = np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
     return seq, np.flatnonzero(last) + 1, table, base
@@ -165,7 +168,7 @@ def write_shards(docs: DataFrame, out_dir: str, tokenizer: str | None = None, en
     path = tokenizer or default_path("word_bpe_49k.json")
 
     def encode(frames):
-        pieces, part, shard = Pieces(path, spaced), TaskContext.get().partitionId(), 0
+        pieces, part, shard = pieces_for(path, spaced), TaskContext.get().partitionId(), 0
         names: list = []
         ids: list[np.ndarray] = []
         size = 0

@@ -14,11 +14,11 @@ from itertools import chain
 import numpy as np
 from tokenizers import Tokenizer
 
-#: The memo is dropped when it holds so many pieces.
-MEMO = 200_000
-#: Letters for which the library's classes are beyond doubt, and marks that may follow them.
-_PLAIN = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?)\"]*)")
+#: The memo is renewed when it holds so many pieces; those met at least KEEP times since stay.
+KEEP = 3
+MEMO = 250_000
 _SPACE = re.compile(r"\s")
+_MARKS = re.compile(r"[^\w\s]|_")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -56,31 +56,54 @@ class Pieces:
         self.used = 0
         self.at = np.zeros(1 << 16, np.int64)
         self.size = np.zeros(1 << 16, np.int32)
-        self.odd = np.zeros(1 << 16, bool)
-        self.parts: dict[str, tuple[int, ...]] = {}
-
-    def _part(self, s: str) -> tuple[int, ...]:
-        got = self.parts.get(s)
-        if got is None:
-            own = s.replace(" ", self.letters[32]) if s.isascii() else s.encode().decode("latin1").translate(self.letters)
-            got = self.parts[s] = tuple([t.id for t in self.model.tokenize(own)])
-        return got
+        #: Of each piece: 1 a cut beside it could be wrong, 2 it ends in a mark, 4 it starts with one.
+        self.kind = np.zeros(1 << 16, np.uint8)
+        self.met = np.zeros(1 << 16, np.int32)
+
+    def _renew(self) -> None:
+        n = len(self.memo)
+        stay = np.flatnonzero(self.met[:n] >= KEEP)
+        if len(stay) > MEMO // 2:
+            stay = np.sort(np.argpartition(-self.met[:n], MEMO // 2)[: MEMO // 2])
+        names, at, size, kind, flat = list(self.memo), self.at[stay], self.size[stay], self.kind[stay], self.flat
+        self.reset()
+        for i in stay.tolist():
+            self.memo[names[i]] = len(self.memo)
+        while len(self.at) < len(stay):
+            self._grow()
+        stop = np.cumsum(size, dtype=np.int64)
+        self.used = int(stop[-1]) if len(stop) else 0
+        own = flat[np.repeat(at - (stop - size), size) + np.arange(self.used)]
+        self.flat = np.concatenate([own, np.zeros(max(1 << 16, self.used), np.uint32)])
+        self.at[: len(stay)], self.size[: len(stay)], self.kind[: len(stay)] = stop - size, size, kind
+
+    def _grow(self) -> None:
+        self.at, self.size, self.kind, self.met = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.size, self.kind, self.met))
+
+    def _kind(self, p: str) -> int:
+        kind = (2 if p and _MARKS.match(p[-1]) else 0) | (4 if p and _MARKS.match(p[0]) else 0)
+        if self.spaced and p != "\n" and (p in ("", " ") or _SPACE.search(p, 1) is not None or (p[0] != " " and p[0].isspace())):
+            kind |= 1
+        return kind
 
     def _learn(self) -> None:
         new = self.memo.new
         first = len(self.memo) - len(new)
         while len(self.at) < len(self.memo):
-            self.at, self.size, self.odd = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.size, self.odd))
-        ids: list = [None] * len(new)
+            self._grow()
+        ids: list = [()] * len(new)
         hard = []
+        tokenize, spaced, space = self.model.tokenize, self.spaced, self.letters[32]
         for i, p in enumerate(new):
-            m = _PLAIN.fullmatch(p)
-            if m:
-                word, mark = m[1] if self.spaced else m[1].strip().lower(), m[2]
-                ids[i] = self._part(word) + (self._part(mark) if mark else ())
+            word = p[1:] if spaced and p[:1] == " " else p
+            # Words of letters for which the library's classes are beyond doubt.
+            if word.isalpha() and (word.isascii() or max(word) <= "ÿ"):
+                own = p if spaced else p.lower()
+                own = own.replace(" ", space) if own.isascii() else own.encode().decode("latin1").translate(self.letters)
+                ids[i] = [t.id for t in tokenize(own)]
             else:
                 hard.append(i)
-                self.odd[first + i] = self.spaced and p != "\n" and (p in ("", " ") or _SPACE.search(p, 1) is not None or (p[0] != " " and p[0].isspace()))
+                self.kind[first + i] = self._kind(p)
         for i, e in zip(hard, self.tokenizer.encode_batch_fast([new[i] for i in hard], add_special_tokens=False), strict=True):
             ids[i] = e.ids
         sizes = np.fromiter(map(len, ids), np.int32, len(ids))
@@ -96,33 +119,39 @@ class Pieces:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
         if len(self.memo) > MEMO:
-            self.reset()
+            self._renew()
         pieces: list[str] = []
         ends = []
         whole: dict[int, None] = {}
         for i, t in enumerate(texts):
-            if self.spaced:
-                if "\0" in t:
-                    whole[i] = None
-                    t = ""
-                if t:
+            if "\0" in t:
+                whole[i] = None
+                t = ""
+            if t:
+                t = t.replace(".", "\0.").replace(",", "\0,")
+                if self.spaced:
                     own = t.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
                     if not own[-1]:
                         own.pop()
-                    if own and not own[0]:  # the text starts with a space or a line end
+                    if own and not own[0]:  # the text starts with a space, a mark or a line end
                         own = own[1:]
-                    pieces += own
-            elif t:
-                pieces += t.replace("\n", " ").split(" ")
+                else:
+                    own = t.replace("\n", "\0").replace(" ", "\0").split("\0")
+                pieces += own
             ends.append(len(pieces))
         idx = np.fromiter(map(self.memo.__getitem__, pieces), np.int64, len(pieces))
         if self.memo.new:
             self._learn()
+        self.met[: len(self.memo)] += np.bincount(idx, minlength=len(self.memo)).astype(np.int32)
         sizes = self.size[idx].astype(np.int64)
         stop = np.cumsum(sizes)
         total = int(stop[-1]) if len(stop) else 0
         flat = self.flat[np.repeat(self.at[idx] - (stop - sizes), sizes) + np.arange(total)]
-        odd = np.concatenate([[0], np.cumsum(self.odd[idx])])
+        kind = self.kind[idx]
+        odd = (kind & 1) > 0
+        # Marks side by side are one piece to the library.
+        odd[:-1] |= ((kind[:-1] & 2) > 0) & ((kind[1:] & 4) > 0)
+        odd = np.concatenate([[0], np.cumsum(odd)])
         stop = np.concatenate([[0], stop])
         out, lo = [], 0
         for i, hi in enumerate(ends):
@@ -136,6 +165,17 @@ class Pieces:
         return out
 
 
+_KEPT: dict[tuple[str, bool], Pieces] = {}
+
+
+def pieces_for(path: str, spaced: bool) -> Pieces:
+    """One encoder a worker process: its memo serves all tasks there, and memory is taken once."""
+    if (path, spaced) not in _KEPT:
+        _KEPT.clear()
+        _KEPT[path, spaced] = Pieces(path, spaced)
+    return _KEPT[path, spaced]
+
+
 def in_blocks(texts: list[str], chars: int = 1 << 20):
     """Ranges of texts of about so many characters, for bounded memory."""
     lo = size = 0
