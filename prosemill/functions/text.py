@@ -12,7 +12,7 @@ WORD = f"A-Za-z0-9{CJK}"
 KANA = "぀-ヿ"
 WIDE_DIGITS, DIGITS = "０１２３４５６７８９", "0123456789"
 #: Ends of the lines that a check sees.
-LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
+LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 RADIUS = 12
 
 SPAN = "array<struct<s:int,e:int,m:string>>"
