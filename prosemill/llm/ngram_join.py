@@ -2,9 +2,10 @@
 
 A document is the set of its word shingles. For similarity t, two sets of sizes a <= b can
 only link if a >= t b, and then, under ANY global order of tokens, the first
-|x| - ceil(t |x|) + 1 tokens of each must share one. Candidates come from the first order (by
-token hash); they are kept only if the prefixes under the other orders meet as well, and
-only what passes all filters is verified on the whole sets.
+|x| - ceil(t |x|) + 1 tokens of each must share one. All orders here put tokens that no other
+document has first (a bit map of bounded size knows the shared ones), then differ by hash.
+Candidates come from the first order; they are kept only if the prefixes under the other
+orders meet as well, and only what passes all filters is verified on the whole sets.
 
 Copies are one class from the start. Posting lists are joined without ever listing all
 their pairs: each list first links its members to its first one, found classes are
@@ -32,48 +33,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prosemill.llm.common import blocks_for, components, materialize
+from prosemill.llm.common import components, materialize
+from prosemill.llm.shared_values import MOST, A, SharedMap, mix, shared_values
+from prosemill.llm.words import WordHashes, window_hashes
 
 WORDS = 5
 THRESHOLD = (80, 100)
 ORDERS = 3
 LONG = 64
-_A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-
-
-def mix(x: np.ndarray) -> np.ndarray:
-    """A 64-bit finaliser: a permutation, so distinct values stay distinct."""
-    x = (x ^ (x >> np.uint64(30))) * _B
-    x = (x ^ (x >> np.uint64(27))) * _C
-    return x ^ (x >> np.uint64(31))
-
-
-class WordHashes(dict):
-    """64-bit hashes of words, remembered up to a bound."""
-
-    BOUND = 300_000
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) > self.BOUND:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
-def window_hashes(h: np.ndarray, n: int) -> np.ndarray:
-    """A hash of each run of n word hashes, order included."""
-    k = len(h) - n + 1
-    out = np.full(k, np.uint64(n))
-    for i in range(n):
-        out = mix(out * _A + h[i : i + k])
-    return out
-
-
 def shingle_set(h: np.ndarray, n: int) -> np.ndarray:
     """The distinct tokens of a document, ascending."""
     if not len(h):
@@ -85,48 +52,55 @@ def prefix_size(n: np.ndarray, t: tuple[int, int]) -> np.ndarray:
     return n - -(-n * t[0] // t[1]) + 1
 
 
-def _order(tokens: np.ndarray, k: int) -> np.ndarray:
-    """Ranks of the k-th global order; the first is the hash itself."""
-    return tokens if k == 0 else mix(tokens ^ (np.uint64(k) * _A))
+def _ranks(tokens: np.ndarray, k: int) -> np.ndarray:
+    """Ranks of the k-th global order among shared tokens; the first is the hash itself."""
+    return tokens if k == 0 else mix(tokens ^ np.uint64(k * int(A) % (1 << 64)))
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def _sets(docs: DataFrame, words: int, lower: bool):
-    """An iterator maker: frames of documents -> (frame, list of token sets)."""
+def _sets(words: int, lower: bool):
+    """Texts -> token sets, one after the other."""
 
-    def run(frames):
+    def run(texts):
         memo = WordHashes()
-        for pdf in frames:
-            sets = []
-            for t in pdf["text"]:
-                raw = t.encode("utf-8", "replace") if t is not None else b""
-                sets.append(shingle_set(memo.of((raw.lower() if lower else raw).split()), words))
-            yield pdf, sets
+        for t in texts:
+            raw = t.encode("utf-8", "replace") if t is not None else b""
+            yield shingle_set(memo.of((raw.lower() if lower else raw).split()), words)
 
     return run
 
 
-def sketch(docs: DataFrame, words: int, t: tuple[int, int], orders: int, lower: bool) -> DataFrame:
-    """doc_id, n, fp (two hashes of the whole set), and the prefixes of all orders (p0, p1, ...)."""
-    sets_of = _sets(docs, words, lower)
+def sketch(docs: DataFrame, words: int, t: tuple[int, int], orders: int, lower: bool, most_bits: int = MOST) -> DataFrame:
+    """doc_id, n, fp, fp2 (two hashes of the whole set), sh (shared tokens), and the prefixes of all orders (p0, p1, ...).
+
+    All orders put tokens that only one document has first: those cannot meet, so a prefix
+    keeps its shared tokens only, and most documents keep none.
+    """
+    sets_of = _sets(words, lower)
+    found = shared_values(docs, sets_of, most_bits)
+    shared = docs.sparkSession.sparkContext.broadcast((found.bits, found.buckets))
 
     def run(frames):
-        for pdf, sets in sets_of(frames):
-            n = np.array([len(s) for s in sets], np.int64)
-            size = np.where(n > 0, prefix_size(n, t), 0)
-            cols: dict = {"doc_id": pdf["doc_id"], "n": n}
-            with np.errstate(over="ignore"):
-                cols["fp"] = np.array([_signed(mix(s).sum(keepdims=True))[0] if len(s) else 0 for s in sets], np.int64)
-                cols["fp2"] = np.array([_signed(mix(s ^ _B).sum(keepdims=True))[0] if len(s) else 0 for s in sets], np.int64)
+        known = SharedMap(*shared.value)
+        for pdf in frames:
+            n, fp, fp2, shared_n = [], [], [], []
+            prefixes: list[list] = [[] for _ in range(orders)]
+            for s in sets_of(pdf["text"]):
+                n.append(len(s))
+                fp.append(int(_signed(mix(s).sum(keepdims=True))[0]) if len(s) else 0)
+                fp2.append(int(_signed(mix(s ^ A).sum(keepdims=True))[0]) if len(s) else 0)
+                common = s[known.known(s)]
+                shared_n.append(len(common))
+                m = max(0, int(prefix_size(np.int64(len(s)), t)) - (len(s) - len(common))) if len(s) else 0
                 for k in range(orders):
-                    # The tokens that come first under order k; order 0 is the sets' own.
-                    cols[f"p{k}"] = [_signed(s[:m] if k == 0 else np.sort(np.partition(_order(s, k), m - 1)[:m]) if m else s[:0]) for s, m in zip(sets, size.tolist(), strict=True)]
-            yield pd.DataFrame(cols)
+                    ranks = _ranks(common, k)
+                    prefixes[k].append(_signed(np.sort(np.partition(ranks, m - 1)[:m]) if 0 < m < len(ranks) else ranks[:m]))
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "n": n, "fp": fp, "fp2": fp2, "sh": shared_n} | {f"p{k}": pd.Series(p, pdf.index, object) for k, p in enumerate(prefixes)})
 
-    schema = "doc_id long, n long, fp long, fp2 long, " + ", ".join(f"p{k} array<long>" for k in range(orders))
+    schema = "doc_id long, n long, fp long, fp2 long, sh long, " + ", ".join(f"p{k} array<long>" for k in range(orders))
     return docs.select("doc_id", "text").mapInPandas(run, schema)
 
 
@@ -150,7 +124,7 @@ def _bloom(ids: DataFrame, column: str, bits: int = 1 << 23) -> np.ndarray:
 def _token_sets(docs: DataFrame, wanted: DataFrame, words: int, lower: bool) -> DataFrame:
     """(doc, tokens) of the wanted documents; a bit map of fixed size keeps the others' texts out of the shuffle."""
     bitmap = docs.sparkSession.sparkContext.broadcast(_bloom(wanted, "doc"))
-    sets_of = _sets(docs, words, lower)
+    sets_of = _sets(words, lower)
 
     def run(frames):
         def near():
@@ -158,24 +132,28 @@ def _token_sets(docs: DataFrame, wanted: DataFrame, words: int, lower: bool) ->
                 spot = pdf["spot"].to_numpy()
                 yield pdf[(bitmap.value[spot >> 3] >> (7 - (spot & 7)).astype(np.uint8)) & 1 == 1]
 
-        for pdf, sets in sets_of(near()):
-            yield pd.DataFrame({"doc": pdf["doc_id"], "tokens": [_signed(s) for s in sets]})
+        for pdf in near():
+            yield pd.DataFrame({"doc": pdf["doc_id"], "tokens": pd.Series([_signed(s) for s in sets_of(pdf["text"])], pdf.index, object)})
 
     rows = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 23)).alias("spot"))
     found = rows.mapInPandas(run, "doc long, tokens array<long>")
     return found.join(wanted.select("doc").distinct(), "doc", "left_semi")
 
 
-def _verified(pairs: DataFrame, heads: DataFrame, sets: DataFrame, t: tuple[int, int], orders: int) -> DataFrame:
-    """(a, b, common) of candidate pairs that pass the other orders' filters; ``common`` is exact."""
-    if orders > 1:
-        others = [f"p{k}" for k in range(1, orders)]
-        left = heads.select(F.col("doc").alias("a"), *[F.col(p).alias(f"a_{p}") for p in others])
-        right = heads.select(F.col("doc").alias("b"), *[F.col(p).alias(f"b_{p}") for p in others])
-        pairs = pairs.join(left, "a").join(right, "b")
-        for p in others:
-            pairs = pairs.where(F.arrays_overlap(f"a_{p}", f"b_{p}"))
-        pairs = pairs.select("a", "b", "na", "nb")
+def _filtered(pairs: DataFrame, heads: DataFrame, orders: int) -> DataFrame:
+    """Pairs whose prefixes meet under every other order too."""
+    if orders == 1:
+        return pairs
+    others = [f"p{k}" for k in range(1, orders)]
+    pairs = pairs.join(heads.select(F.col("doc").alias("a"), *[F.col(p).alias(f"a_{p}") for p in others]), "a")
+    pairs = pairs.join(heads.select(F.col("doc").alias("b"), *[F.col(p).alias(f"b_{p}") for p in others]), "b")
+    for p in others:
+        pairs = pairs.where(F.arrays_overlap(f"a_{p}", f"b_{p}"))
+    return pairs.select("a", "b", "na", "nb")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, na, nb, common); ``common`` is exact."""
     pairs = pairs.join(sets.select(F.col("doc").alias("b"), F.col("tokens").alias("tb")), "b")
     pairs = pairs.join(sets.select(F.col("doc").alias("a"), F.col("tokens").alias("ta")), "a")
     return pairs.select("a", "b", "na", "nb", F.size(F.array_intersect("ta", "tb")).cast("long").alias("common"))
@@ -183,7 +161,7 @@ def _verified(pairs: DataFrame, heads: DataFrame, sets: DataFrame, t: tuple[int,
 
 def _fits(t: tuple[int, int]):
     """The length filter: the smaller set is at least t times the larger."""
-    return F.least("na", "nb") * t[1] >= F.greatest("na", "nb") * t[0]
+    return F.least("nx", "ny") * t[1] >= F.greatest("nx", "ny") * t[0]
 
 
 def join(docs: DataFrame, words: int = WORDS, threshold: tuple[int, int] = THRESHOLD, orders: int = ORDERS, lower: bool = True, long: int = LONG) -> DataFrame:
@@ -191,21 +169,23 @@ def join(docs: DataFrame, words: int = WORDS, threshold: tuple[int, int] = THRES
     t = threshold
     drawn = materialize(sketch(docs, words, t, orders, lower), "sketch")
     some = drawn.where("n > 0")
-    heads = some.groupBy("fp", "fp2", "n").agg(F.min("doc_id").alias("doc"), *[F.first(f"p{k}").alias(f"p{k}") for k in range(orders)])
+    heads = some.groupBy("fp", "fp2", "n").agg(F.min("doc_id").alias("doc"), F.first("sh").alias("sh"), *[F.first(f"p{k}").alias(f"p{k}") for k in range(orders)])
     heads = materialize(heads, "heads")
     classes = heads.select("fp", "fp2", "n", "doc")
 
-    postings = heads.select(F.explode("p0").alias("token"), "doc", F.col("n").alias("size"))
-    lists = postings.groupBy("token").agg(F.count("*").alias("df"), F.min(F.struct("size", "doc")).alias("first")).where("df > 1")
+    heads = heads.where(F.size("p0") > 0).select("doc", "n", "sh", *[f"p{k}" for k in range(orders)])
+    postings = heads.select(F.explode("p0").alias("token"), "doc", F.col("n").alias("size"), "sh")
+    lists = postings.groupBy("token").agg(F.count("*").alias("df"), F.min(F.struct("size", "doc", "sh")).alias("first")).where("df > 1")
     lists = materialize(lists, "lists")
-    member = materialize(postings.join(lists, "token").select("token", "doc", "size", "df", F.col("first.doc").alias("pivot"), F.col("first.size").alias("pivot_size")), "postings")
+    pivot = [F.col(f"first.{c}").alias(n) for c, n in (("doc", "pivot"), ("size", "pivot_size"), ("sh", "pivot_sh"))]
+    member = materialize(postings.join(lists, "token").select("token", "doc", "size", "sh", "df", *pivot), "postings")
 
     # Long lists are cut by length first: sets that can link lie in the same or in neighbouring bands.
     band = F.floor(F.log("size") / math.log(t[1] / t[0])).cast("long")
-    cut = member.where(F.col("df") > long).select(F.col("token").alias("whole"), "doc", "size", F.explode(F.array(band, band + 1)).alias("slot"))
-    cut = materialize(cut.select(F.xxhash64("whole", "slot").alias("token"), "doc", "size"), "bands")
-    bands = materialize(cut.groupBy("token").agg(F.count("*").alias("df"), F.min(F.struct("size", "doc")).alias("first")).where("df > 1"), "band-lists")
-    cut = cut.join(bands, "token").select("token", "doc", "size", "df", F.col("first.doc").alias("pivot"), F.col("first.size").alias("pivot_size"))
+    cut = member.where(F.col("df") > long).select(F.col("token").alias("whole"), "doc", "size", "sh", F.explode(F.array(band, band + 1)).alias("slot"))
+    cut = materialize(cut.select(F.xxhash64("whole", "slot").alias("token"), "doc", "size", "sh"), "bands")
+    bands = materialize(cut.groupBy("token").agg(F.count("*").alias("df"), F.min(F.struct("size", "doc", "sh")).alias("first")).where("df > 1"), "band-lists")
+    cut = cut.join(bands, "token").select("token", "doc", "size", "sh", "df", *pivot)
     member = materialize(member.where(F.col("df") <= long).unionByName(cut), "postings")
 
     # Documents of lists that are still long get a second order: rarest first, counted among themselves.
@@ -215,46 +195,58 @@ def join(docs: DataFrame, words: int = WORDS, threshold: tuple[int, int] = THRES
     if crowd.limit(1).count():
         tokens = materialize(_token_sets(docs, crowd, words, lower).dropDuplicates(["doc"]), "crowd-sets")
         flat = tokens.select("doc", F.size("tokens").cast("long").alias("size"), F.explode("tokens").alias("token"))
-        df = materialize(flat.groupBy("token").agg(F.count("*").alias("df"), F.min(F.struct("size", "doc")).alias("first")), "frequency")
+        df = materialize(flat.groupBy("token").agg(F.count("*").alias("df")), "frequency")
         # The rarest tokens of each document: its own array, sorted by (df, token).
-        ranked = flat.join(df, "token").groupBy("doc", "size").agg(F.sort_array(F.collect_list(F.struct("df", "token", "first"))).alias("all"))
+        ranked = flat.join(df, "token").groupBy("doc", "size").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("all"), F.count_if(F.col("df") > 1).alias("sh"))
         head = F.slice("all", F.lit(1), (F.col("size") - F.ceil(F.col("size") * t[0] / t[1]) + 1).cast("int"))
-        rare = ranked.select("doc", "size", F.explode(F.filter(head, lambda x: x["df"] > 1)).alias("x"))
-        rare = rare.select(F.col("x.token").alias("token"), "doc", "size", F.col("x.df").alias("df"), F.col("x.first").alias("f"))
+        rare = ranked.select("doc", "size", "sh", F.explode(F.filter(head, lambda x: x["df"] > 1)).alias("x"))
+        rare = materialize(rare.select(F.col("x.token").alias("token"), "doc", "size", "sh", F.col("x.df").alias("df")), "rare")
         # A list's first member must have the token in its own prefix, so it is chosen anew.
-        first = materialize(rare.groupBy("token").agg(F.min(F.struct("size", "doc")).alias("first")), "first")
+        first = materialize(rare.groupBy("token").agg(F.min(F.struct("size", "doc", "sh")).alias("first")), "first")
         rare = rare.join(first, "token").select(
-            F.xxhash64("token", F.lit(1)).alias("token"), "doc", "size", "df", F.col("first.doc").alias("pivot"), F.col("first.size").alias("pivot_size")
+            F.xxhash64("token", F.lit(1)).alias("token"), "doc", "size", "sh", "df", *pivot
         )
         member = materialize(member.unionByName(rare), "postings")
 
     def ordered(p: DataFrame) -> DataFrame:
-        p = p.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.when(F.col("x") < F.col("y"), F.col("nx")).otherwise(F.col("ny")).alias("na"), F.when(F.col("x") < F.col("y"), F.col("ny")).otherwise(F.col("nx")).alias("nb"))
-        return p.where(_fits(t)).distinct()
+        """Pairs (x, y) as a < b, where lengths and shared tokens leave a link possible: only shared tokens can be common."""
+        most = F.least("sx", "sy")
+        p = p.where(_fits(t) & (most * t[1] >= (F.col("nx") + F.col("ny") - most) * t[0]))
+        low = F.col("x") < F.col("y")
+        return p.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.when(low, F.col("nx")).otherwise(F.col("ny")).alias("na"), F.when(low, F.col("ny")).otherwise(F.col("nx")).alias("nb")).distinct()
 
     def check(pairs: DataFrame) -> DataFrame:
+        pairs = materialize(_filtered(pairs, heads, orders), "filtered")
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
         sets = materialize(_token_sets(docs, wanted, words, lower).dropDuplicates(["doc"]), "sets")
-        return materialize(_verified(pairs, heads, sets, t, orders), "verified")
+        return materialize(_verified(pairs, sets), "verified")
 
     linked = F.col("common") * t[1] >= (F.col("na") + F.col("nb") - F.col("common")) * t[0]
-    stars = ordered(member.where("doc <> pivot").select(F.col("pivot").alias("x"), F.col("doc").alias("y"), F.col("pivot_size").alias("nx"), F.col("size").alias("ny")))
-    seen = check(materialize(stars, "stars"))
-    edges = seen.where(linked).select("a", "b")
+    stars = ordered(member.where("doc <> pivot").select(F.col("pivot").alias("x"), F.col("doc").alias("y"), F.col("pivot_size").alias("nx"), F.col("size").alias("ny"), F.col("pivot_sh").alias("sx"), F.col("sh").alias("sy")))
+    stars = materialize(stars, "stars")
+    edges = check(stars).where(linked).select("a", "b")
     found = materialize(components(edges), "found")
 
     # Members of one list in different classes: what stars did not settle.
-    m = member.join(found, F.col("doc") == F.col("node"), "left").select("token", "doc", "size", F.coalesce("component", "doc").alias("c"))
+    m = member.join(found, F.col("doc") == F.col("node"), "left").select("token", "doc", "size", "sh", F.coalesce("component", "doc").alias("c"))
     open_lists = m.groupBy("token").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("df")).where("c0 <> c1 and df > 2").select("token")
     m = materialize(m.join(materialize(open_lists, "open"), "token"), "open-postings")
-    x = m.select("token", F.col("doc").alias("x"), F.col("size").alias("nx"), F.col("c").alias("cx"))
-    y = m.select("token", F.col("doc").alias("y"), F.col("size").alias("ny"), F.col("c").alias("cy"))
-    small = F.least("nx", "ny") * t[1] >= F.greatest("nx", "ny") * t[0]
+    x = m.select("token", F.col("doc").alias("x"), F.col("size").alias("nx"), F.col("sh").alias("sx"), F.col("c").alias("cx"))
+    y = m.select("token", F.col("doc").alias("y"), F.col("size").alias("ny"), F.col("sh").alias("sy"), F.col("c").alias("cy"))
+    most = F.least("sx", "sy")
+    small = _fits(t) & (most * t[1] >= (F.col("nx") + F.col("ny") - most) * t[0])
     rest = ordered(x.join(y, "token").where((F.col("x") < F.col("y")) & (F.col("cx") != F.col("cy")) & small))
-    rest = materialize(rest.join(seen.select("a", "b"), ["a", "b"], "left_anti"), "rest")
+    rest = materialize(rest.join(stars.select("a", "b"), ["a", "b"], "left_anti"), "rest")
     if rest.limit(1).count():
-        more = check(rest).where(linked).select("a", "b")
-        found = components(edges.unionByName(more))
+        more = materialize(check(rest).where(linked).select("a", "b"), "more")
+        if not more.isEmpty():
+            # Classes that the second round ties, not their members, go through components again.
+            name = found.select("node", "component")
+            tied = more.join(name.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(name.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
+            tied = components(tied.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
+            tied = tied.select(F.col("node").alias("_n"), F.col("component").alias("_c"))
+            old = found.join(tied, F.col("component") == F.col("_n"), "left").select("node", F.coalesce("_c", "component").alias("component"))
+            found = materialize(old.unionByName(tied.join(found, F.col("_n") == F.col("node"), "left_anti").select(F.col("_n").alias("node"), F.col("_c").alias("component"))), "found")
 
     named = classes.join(found, F.col("doc") == F.col("node"), "left").select("fp", "fp2", "n", F.coalesce("component", "doc").alias("component_id"))
     named = materialize(named, "named")

@@ -1,0 +1,135 @@
+"""Which 64-bit values do two documents share? A bit map of bounded size says so for all texts.
+
+Each task reduces its documents' values to one entry a value (so one that is common to many
+documents stays small), cuts entries to 39 bits and a flag, and deals them to buckets by
+hash as packed bytes; a bucket's entries meet in one sort. Shared values fill a bit map that
+reaches the driver in pages: its size follows their number up to ``MOST`` bits. It may name
+values that are not shared (more so as it fills), never miss one that is.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterable, Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from prosemill.llm.common import blocks_for, materialize
+
+MOST, PROBES = 1 << 28, 4
+FLUSH = 1 << 20
+A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+_CUT = np.uint64(25)
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """A 64-bit finaliser: a permutation, so distinct values stay distinct."""
+    x = (x ^ (x >> np.uint64(30))) * _B
+    x = (x ^ (x >> np.uint64(27))) * _C
+    return x ^ (x >> np.uint64(31))
+
+
+def pack(entry: np.ndarray) -> bytes:
+    """40-bit entries as bytes: the low four of each, then the high one of each."""
+    return (entry & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes() + (entry >> np.uint64(32)).astype("u1").tobytes()
+
+
+def unpack(raw: bytes) -> np.ndarray:
+    n = len(raw) // 5
+    return np.frombuffer(raw, "<u4", n).astype(np.uint64) | (np.frombuffer(raw, "u1", n, 4 * n).astype(np.uint64) << np.uint64(32))
+
+
+class SharedMap:
+    """The bit map with what it takes to ask it."""
+
+    def __init__(self, bits: np.ndarray, buckets: int):
+        self.bits, self.buckets = bits, buckets
+
+    @staticmethod
+    def spots(cut: np.ndarray, bucket: np.ndarray, size: int) -> Iterator[np.ndarray]:
+        h = cut * A + bucket
+        for _ in range(PROBES):
+            h = mix(h + A)
+            yield (h & np.uint64(size - 1)).astype(np.int64)
+
+    def known(self, values: np.ndarray) -> np.ndarray:
+        out = np.ones(len(values), bool)
+        for s in self.spots(values >> _CUT, mix(values) % np.uint64(self.buckets), len(self.bits) * 8):
+            out &= (self.bits[s >> 3] >> (7 - (s & 7)).astype(np.uint8)) & 1 == 1
+        return out
+
+
+def shared_values(docs: DataFrame, values_of: Callable[[Iterable], Iterator[np.ndarray]], most: int = MOST) -> SharedMap:
+    """``values_of`` turns texts into arrays of values, one after the other; null texts are left out."""
+    buckets = blocks_for(docs)
+
+    def emit(frames):
+        held, who, size, doc = [], [], 0, 0
+
+        def close():
+            nonlocal held, who, size
+            h, d = np.concatenate(held), np.concatenate(who)
+            held, who, size = [], [], 0
+            order = np.argsort(h, kind="stable")
+            h, d = h[order], d[order]
+            head = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+            tail = np.concatenate([head[1:], [len(h)]]) - 1
+            entry = ((h[head] >> _CUT) << np.uint64(1)) | (d[head] != d[tail]).astype(np.uint64)
+            bucket = (mix(h[head]) % np.uint64(buckets)).astype(np.int32)
+            order = np.argsort(bucket, kind="stable")
+            entry, bucket = entry[order], bucket[order]
+            cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
+            return pd.DataFrame({"bucket": bucket[cut[:-1]], "entries": [pack(entry[a:b]) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]})
+
+        for pdf in frames:
+            for v in values_of(pdf["text"]):
+                doc += 1
+                if len(v):
+                    held.append(v)
+                    who.append(np.full(len(v), doc, np.int32))
+                    size += len(v)
+                    if size >= FLUSH:
+                        yield close()
+        if size:
+            yield close()
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        e = np.concatenate([unpack(x) for x in pdf["entries"]])
+        e.sort()
+        cut = e >> np.uint64(1)
+        again = np.concatenate([cut[1:] == cut[:-1], [False]]) | ((e & np.uint64(1)) == 1)
+        cut = np.unique(cut[again])
+        return pd.DataFrame({"bucket": pdf["bucket"].iloc[:1], "entries": [pack(cut)], "n": [len(cut)]})
+
+    rows = docs.where("text is not null").select("text").mapInPandas(emit, "bucket int, entries binary")
+    shared = materialize(rows.groupBy("bucket").applyInPandas(compare, "bucket int, entries binary, n long"), "shared")
+    n = shared.agg(F.sum("n")).first()[0] or 0
+    bits = 1 << 13
+    while bits < most and bits < 40 * n:
+        bits *= 2
+    pages = max(1, bits >> 18)
+
+    def fill(frames):
+        # One map a task, in pages: equal pages of different tasks are united before they reach the driver.
+        own = np.zeros(bits, bool)
+        for pdf in frames:
+            for bucket, raw in zip(pdf["bucket"], pdf["entries"], strict=True):
+                for s in SharedMap.spots(unpack(raw), np.uint64(bucket), bits):
+                    own[s] = True
+        packed = np.packbits(own).reshape(pages, -1)
+        for i in range(pages):
+            yield pd.DataFrame({"page": [i], "bits": [packed[i].tobytes()]})
+
+    def unite(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = np.frombuffer(pdf["bits"].iat[0], np.uint8).copy()
+        for b in pdf["bits"].iloc[1:]:
+            own |= np.frombuffer(b, np.uint8)
+        return pd.DataFrame({"page": pdf["page"].iloc[:1], "bits": [own.tobytes()]})
+
+    out = np.zeros((pages, bits // pages // 8), np.uint8)
+    rows = shared.select("bucket", "entries").coalesce(3).mapInPandas(fill, "page int, bits binary").groupBy("page").applyInPandas(unite, "page int, bits binary")
+    for r in rows.toLocalIterator():
+        out[r["page"]] = np.frombuffer(r["bits"], np.uint8)
+    return SharedMap(out.ravel(), buckets)

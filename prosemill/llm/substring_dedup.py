@@ -5,10 +5,9 @@ difference cover: for any two positions some shift below 7 brings both into it.
 13-word windows, wherever they start, share an equal 7-word anchor at a cover position, and
 only three in seven positions need an anchor.
 
-1. Anchors of all texts are hashed, reduced within each task to one entry a value (so that a
-   passage common to many documents stays small), dealt to buckets by hash and compared:
-   a value is shared if two documents hold it.
-2. Shared values fill a bit map of bounded size. A window is a candidate if one of its
+1. Anchors of all texts are hashed; those that two documents share fill a bit map of bounded
+   size.
+2. A window is a candidate if one of its
    anchors may be shared; a full bit map only means more candidates.
 3. Anchors are extended to whole windows: candidates are grouped by the hash of their 13
    words, and a window is a repeat if a document with a smaller doc_id has it.
@@ -31,15 +30,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prosemill.llm.common import blocks_for, materialize
-from prosemill.llm.ngram_join import WordHashes, mix, window_hashes
+from prosemill.llm.common import materialize
+from prosemill.llm.shared_values import MOST, A, SharedMap, mix, shared_values
+from prosemill.llm.words import WordHashes, window_hashes
 
 WINDOW, PERIOD, COVER = 13, 7, (0, 1, 3)
 ANCHOR = WINDOW - PERIOD + 1
-FLUSH = 1 << 20
-BITS_MOST, PROBES = 1 << 28, 4
-_ONE = np.uint64(1)
-_A = np.uint64(0x9E3779B97F4A7C15)
 
 
 def anchors(h: np.ndarray) -> np.ndarray:
@@ -50,7 +46,7 @@ def anchors(h: np.ndarray) -> np.ndarray:
 def windows(seven: np.ndarray) -> np.ndarray:
     """13-word hashes from the 7-word hashes of their first and last seven words."""
     k = len(seven) - (WINDOW - ANCHOR)
-    return mix(seven[:k] * _A + seven[WINDOW - ANCHOR :]) if k > 0 else np.zeros(0, np.uint64)
+    return mix(seven[:k] * A + seven[WINDOW - ANCHOR :]) if k > 0 else np.zeros(0, np.uint64)
 
 
 def cover(n: int) -> np.ndarray:
@@ -58,138 +54,46 @@ def cover(n: int) -> np.ndarray:
     return at[np.isin(at % PERIOD, COVER)]
 
 
-def _words(texts) -> list[list[bytes]]:
-    return [t.encode("utf-8", "replace").split() if t is not None else [] for t in texts]
+def _words(text) -> list[bytes]:
+    return text.encode("utf-8", "replace").split() if text is not None else []
 
 
-def _shared(docs: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, keys) of the anchor values that two documents hold. The lowest bit of an entry says so already."""
-
-    def emit(frames):
-        memo, held, who, size, doc = WordHashes(), [], [], 0, 0
-
-        def close():
-            nonlocal held, who, size
-            h, d = np.concatenate(held) & ~_ONE, np.concatenate(who)
-            order = np.argsort(h, kind="stable")
-            h, d = h[order], d[order]
-            head = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-            tail = np.concatenate([head[1:], [len(h)]]) - 1
-            entry = h[head] | (d[head] != d[tail]).astype(np.uint64)
-            bucket = (mix(h[head]) % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            entry, bucket = entry[order], bucket[order]
-            cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
-            held, who, size = [], [], 0
-            return pd.DataFrame({"bucket": bucket[cut[:-1]].astype(np.int32), "keys": [entry[a:b].tobytes() for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]})
-
-        for pdf in frames:
-            for words in _words(pdf["text"]):
-                doc += 1
-                if len(words) < WINDOW:
-                    continue
-                seven = anchors(memo.of(words))
-                seven = seven[cover(len(seven))]
-                held.append(seven)
-                who.append(np.full(len(seven), doc, np.int32))
-                size += len(seven)
-                if size >= FLUSH:
-                    yield close()
-        if size:
-            yield close()
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        e = np.sort(np.concatenate([np.frombuffer(k, np.uint64) for k in pdf["keys"]]))
-        h = e & ~_ONE
-        again = np.concatenate([h[1:] == h[:-1], [False]]) | ((e & _ONE) == _ONE)
-        keys = np.unique(h[again])
-        return pd.DataFrame({"bucket": pdf["bucket"].iloc[:1], "keys": [keys.tobytes()], "n": [len(keys)]})
-
-    rows = docs.where("doc_id is not null and text is not null").select("text").mapInPandas(emit, "bucket int, keys binary")
-    return materialize(rows.groupBy("bucket").applyInPandas(compare, "bucket int, keys binary, n long"), "anchors")
-
-
-def _spots(h: np.ndarray, bits: int) -> list[np.ndarray]:
-    out = []
-    for _ in range(PROBES):
-        h = mix(h + _A)
-        out.append((h & np.uint64(bits - 1)).astype(np.int64))
-    return out
-
-
-def _bit_map(shared: DataFrame, most: int) -> np.ndarray:
-    """Bits by value; its size follows the number of shared values up to ``most``."""
-    n = shared.agg(F.sum("n")).first()[0] or 0
-    bits = 1 << 13
-    while bits < most and bits < 40 * n:
-        bits *= 2
-    pages = max(1, bits >> 18)
-
-    def fill(frames):
-        # One map a task, in pages, so that equal pages of different tasks are joined before they reach the driver.
-        own = np.zeros(bits, bool)
-        any_ = False
-        for pdf in frames:
-            for keys in pdf["keys"]:
-                any_ = True
-                for s in _spots(np.frombuffer(keys, np.uint64), bits):
-                    own[s] = True
-        if any_:
-            packed = np.packbits(own).reshape(pages, -1)
-            for i in range(pages):
-                yield pd.DataFrame({"page": [i], "bits": [packed[i].tobytes()]})
-
-    def unite(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = np.frombuffer(pdf["bits"].iat[0], np.uint8).copy()
-        for b in pdf["bits"].iloc[1:]:
-            own |= np.frombuffer(b, np.uint8)
-        return pd.DataFrame({"page": pdf["page"].iloc[:1], "bits": [own.tobytes()]})
-
-    out = np.zeros((pages, bits // pages // 8), np.uint8)
-    rows = shared.select("keys").coalesce(8).mapInPandas(fill, "page int, bits binary").groupBy("page").applyInPandas(unite, "page int, bits binary")
-    for r in rows.toLocalIterator():
-        out[r["page"]] = np.frombuffer(r["bits"], np.uint8)
-    return out.ravel()
-
-
-def _known(bit_map: np.ndarray, h: np.ndarray) -> np.ndarray:
-    out = np.ones(len(h), bool)
-    for s in _spots(h & ~_ONE, len(bit_map) * 8):
-        out &= (bit_map[s >> 3] >> (7 - (s & 7)).astype(np.uint8)) & 1 == 1
-    return out
+def _anchor_values(texts):
+    memo = WordHashes()
+    for t in texts:
+        words = _words(t)
+        seven = anchors(memo.of(words)) if len(words) >= WINDOW else np.zeros(0, np.uint64)
+        yield seven[cover(len(seven))]
 
 
 def _sha(words: list[bytes]) -> str:
     return hashlib.sha256(b" ".join(words)).hexdigest()
 
 
-def repeats(docs: DataFrame, most_bits: int = BITS_MOST) -> tuple[DataFrame, DataFrame]:
+def repeats(docs: DataFrame, most_bits: int = MOST) -> tuple[DataFrame, DataFrame]:
     """(documents with n_words, sha256, rid and, where windows may repeat, their text; rid -> starts of repeated windows)."""
-    shared = _shared(docs, blocks_for(docs))
-    bit_map = docs.sparkSession.sparkContext.broadcast(_bit_map(shared, most_bits))
+    found = shared_values(docs.where("doc_id is not null"), _anchor_values, most_bits)
+    bit_map = docs.sparkSession.sparkContext.broadcast((found.bits, found.buckets))
 
     def look(frames):
-        memo, part, row = WordHashes(), TaskContext.get().partitionId(), 0
+        memo, part, row, shared = WordHashes(), TaskContext.get().partitionId(), 0, SharedMap(*bit_map.value)
+        none = np.zeros(0, np.int64)
         for pdf in frames:
-            words = _words(pdf["text"])
-            texts, hashes, starts, rids = [], [], [], []
-            for w, t, d in zip(words, pdf["text"], pdf["doc_id"], strict=True):
-                rids.append((part << 36) + row)
-                row += 1
-                at = np.zeros(0, np.int64)
+            cols: dict[str, list] = {"rid": [], "n_words": [], "sha": [], "text": [], "hashes": [], "starts": []}
+            for t, d in zip(pdf["text"], pdf["doc_id"], strict=True):
+                w, at, own = _words(t), none, none
                 if len(w) >= WINDOW and not pd.isna(d):
                     seven = anchors(memo.of(w))
                     spot = cover(len(seven))
                     hit = np.zeros(len(seven) + 1, np.int64)
-                    hit[spot + 1] = _known(bit_map.value, seven[spot])
+                    hit[spot + 1] = shared.known(seven[spot])
                     reach = np.cumsum(hit)
                     at = np.flatnonzero(reach[PERIOD:] > reach[: len(reach) - PERIOD])
-                starts.append(at)
-                hashes.append(windows(seven)[at].view(np.int64) if len(at) else at)
-                texts.append(t if len(at) else None)
-            yield pd.DataFrame(
-                {"doc_id": pdf["doc_id"].astype("Int64"), "rid": rids, "n_words": [len(w) for w in words], "sha": [_sha(w) for w in words], "text": texts, "hashes": hashes, "starts": starts}
-            )
+                    own = windows(seven)[at].view(np.int64) if len(at) else none
+                for name, x in zip(cols, ((part << 36) + row, len(w), _sha(w), t if len(at) else None, own, at), strict=True):
+                    cols[name].append(x)
+                row += 1
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), **cols})
 
     schema = "doc_id long, rid long, n_words long, sha string, text string, hashes array<long>, starts array<long>"
     looked = materialize(docs.select("doc_id", "text").mapInPandas(look, schema), "windows")
@@ -200,7 +104,7 @@ def repeats(docs: DataFrame, most_bits: int = BITS_MOST) -> tuple[DataFrame, Dat
     return looked, found
 
 
-def dedup(docs: DataFrame, most_bits: int = BITS_MOST) -> DataFrame:
+def dedup(docs: DataFrame, most_bits: int = MOST) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, kept (the text left, null where nothing was removed)."""
     looked, found = repeats(docs, most_bits)
 
