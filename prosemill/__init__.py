@@ -1,0 +1 @@
+"""Prose lint analytics and training-data operators on Spark."""
