@@ -176,5 +176,5 @@ def replay_batches(batches: DataFrame, config: Config | None = None) -> DataFram
     whole = whole.select("message_id", F.xxhash64("message_id").alias("doc_id"), "text")
     done = fix(whole, config).join(whole.select("message_id", "doc_id"), "doc_id")
     parts = F.split("fixed", "\n", -1)
-    own = F.slice(parts, F.col("_from") + 1, F.greatest(F.col("_n"), F.lit(1)))
+    own = F.slice(parts, F.col("_from") + 1, F.col("_n") + F.when(F.endswith("delta", F.lit("\n")), 0).otherwise(1))
     return b.join(done, "message_id").select("message_id", "index", F.concat(F.array_join(own, "\n"), F.when(F.endswith("delta", F.lit("\n")), "\n").otherwise("")).alias("shown"))
