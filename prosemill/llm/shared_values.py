@@ -113,12 +113,12 @@ def shared_values(docs: DataFrame, values_of: Callable[[Iterable], Iterator[np.n
 
     def fill(frames):
         # One map a task, in pages: equal pages of different tasks are united before they reach the driver.
-        own = np.zeros(bits, bool)
+        own = np.zeros(bits // 8, np.uint8)
         for pdf in frames:
             for bucket, raw in zip(pdf["bucket"], pdf["entries"], strict=True):
                 for s in SharedMap.spots(unpack(raw), np.uint64(bucket), bits):
-                    own[s] = True
-        packed = np.packbits(own).reshape(pages, -1)
+                    np.bitwise_or.at(own, s >> 3, np.left_shift(1, 7 - (s & 7)).astype(np.uint8))
+        packed = own.reshape(pages, -1)
         for i in range(pages):
             yield pd.DataFrame({"page": [i], "bits": [packed[i].tobytes()]})
 
