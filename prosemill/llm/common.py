@@ -14,14 +14,16 @@ _LOCAL: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; one of our own only where the cluster names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that the driver and all executors share; one of our own only in local mode, where no cluster names one."""
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if named:
         return named.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _LOCAL:
-        _LOCAL[app] = tempfile.mkdtemp(prefix="prosemill-")
-    return _LOCAL[app]
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if sc.applicationId not in _LOCAL:
+        _LOCAL[sc.applicationId] = tempfile.mkdtemp(prefix="prosemill-")
+    return _LOCAL[sc.applicationId]
 
 
 def fresh_path(spark: SparkSession, tag: str) -> str:
@@ -36,6 +38,16 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Deletes written steps that nothing will read again."""
+    for df in tables:
+        spark = df.sparkSession
+        for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            if "/prosemill/" in path:
+                where = spark._jvm.org.apache.hadoop.fs.Path(path)
+                where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def blocks_for(df: DataFrame, per_input_split: int = 2) -> int:
     """A partition count that follows the input: so many for each of its splits."""
     spark = df.sparkSession
@@ -62,6 +74,7 @@ def components(edges: DataFrame, tag: str = "components") -> DataFrame:
         low = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), tag)
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = materialize(large, tag)
+        discard(e, low)
         low = materialize(large.groupBy("u").agg(F.min("v").alias("m")), tag)
         small = (
             large.join(low, "u")
@@ -71,6 +84,7 @@ def components(edges: DataFrame, tag: str = "components") -> DataFrame:
             .distinct()
         )
         e = materialize(small, tag)
+        discard(large, low)
         # Stars are final: every node has one edge, and no centre has one.
         tied = e.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").select("u").unionByName(e.join(e.select(F.col("v").alias("u")).distinct(), "u", "left_semi").select("u"))
         if tied.isEmpty():

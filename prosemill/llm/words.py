@@ -1,32 +1,73 @@
-"""Hashes of words and of runs of words."""
+"""Words of many texts at once, as arrays of 64-bit hashes.
+
+Texts come as bytes. Words are runs of anything but ASCII white space; a word's hash is a
+polynomial over a random value for each of its bytes, taken from running sums, so no Python
+object is made for a word. Texts are worked through in slices that end at white space:
+memory follows the slice, or the longest word.
+"""
 
 from __future__ import annotations
 
 import numpy as np
-import xxhash
 
-from prosemill.llm.shared_values import A, mix
+A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+SLICE = 1 << 16
+_ODD = 0x5851F42D4C957F2D
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """A 64-bit finaliser: a permutation, so distinct values stay distinct."""
+    x = (x ^ (x >> np.uint64(30))) * _B
+    x = (x ^ (x >> np.uint64(27))) * _C
+    return x ^ (x >> np.uint64(31))
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    return np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(n, base, np.uint64))])
 
 
-class WordHashes(dict):
-    """64-bit hashes of words, remembered up to a bound."""
+class WordHasher:
+    """Word hashes of texts; ``lower`` folds A-Z first."""
 
-    BOUND = 200_000
+    def __init__(self, lower: bool = False):
+        self.values = mix(np.arange(1, 257, dtype=np.uint64) * A)
+        if lower:
+            self.values[65:91] = self.values[97:123]
+        self.up = self.down = np.zeros(0, np.uint64)
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > self.BOUND:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
+    def _slice(self, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        space = np.ones(len(raw) + 2, bool)
+        space[1:-1] = _SPACE[raw]
+        edge = np.flatnonzero(space[1:] != space[:-1])
+        start, end = edge[::2], edge[1::2]
+        if len(self.up) <= len(raw):
+            self.up, self.down = _powers(_ODD, len(raw)), _powers(pow(_ODD, -1, 1 << 64), len(raw))
+        run = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum(self.values[raw] * self.up[: len(raw)], out=run[1:])
+        return mix((run[end] - run[start]) * self.down[start] + (end - start).astype(np.uint64)), start, end
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+    def __call__(self, raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hash, start and end of every word in these bytes."""
+        whole, parts, lo = np.frombuffer(raw, np.uint8), [], 0
+        while lo < len(whole):
+            hi = min(lo + SLICE, len(whole))
+            while hi < len(whole) and not _SPACE[whole[hi - 1]]:
+                gap = np.flatnonzero(_SPACE[whole[hi : hi + SLICE]])
+                hi = hi + int(gap[0]) + 1 if len(gap) else min(hi + SLICE, len(whole))
+            h, s, e = self._slice(whole[lo:hi])
+            parts.append((h, s + lo, e + lo))
+            lo = hi
+        if not parts:
+            none = np.zeros(0, np.int64)
+            return np.zeros(0, np.uint64), none, none
+        return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
-def window_hashes(h: np.ndarray, n: int) -> np.ndarray:
-    """A hash of each run of n word hashes, order included."""
-    k = len(h) - n + 1
-    out = np.full(k, np.uint64(n))
+def run_hashes(h: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """A hash of the n words from each of these positions, order included."""
+    out = np.full(len(at), n, np.uint64)
     for i in range(n):
-        out = mix(out * A + h[i : i + k])
+        out = mix(out * A + h[at + i])
     return out
