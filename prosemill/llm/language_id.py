@@ -2,7 +2,7 @@
 
 For each language a byte context tree of orders 0 to 3 is counted over a bounded sample of
 labelled documents and then frozen. A document's code length under a language is the sum
-over all its bytes of -log2 p(byte | longest context known to that language), escapes
+over all its bytes of -log2 p(byte | longest context that any language knows), escapes
 weighing d / (n + d) (method C, without exclusion) and falling to the next shorter
 context, at last to a uniform choice among all symbols. The shortest code wins; ties go to
 the language that comes first by code point.
@@ -10,20 +10,27 @@ the language that comes first by code point.
 The trees of all languages are compiled to one table, context row x symbol x language, so
 that scoring is two array look-ups a byte; every byte of every text is scored.
 
-Bytes are folded first: A-Z to a-z, digits to 0, ASCII white space to a space; the 126 most
-frequent folded bytes of the sample are symbols of their own, all others share one.
+Bytes are folded first: A-Z to a-z, digits to 0, ASCII white space to a space. Each folded
+byte that the sample holds is a symbol, and one more stands for any other.
+
+``identified`` is the filter: it drops documents that no language codes in fewer bits than a
+code that knows no language, the adaptive code of order 0 (Laplace's rule over 256 bytes),
+which random characters favour and text does not.
 
 Bound of the sample: ``SAMPLE_DOCS`` documents a language in expectation, chosen by the
 hash of their doc_id, whole texts.
 
 Defined cases: text that is null or has no letter gives ``und`` and score 0; without any
-labelled document everything is ``und``; a null doc_id is never learned from and has
-held_out null; a null label is not learned from but gets a prediction; repeated rows each
-get their own; further columns are ignored.
+labelled document everything is ``und``, and the filter keeps what has a letter; a null
+doc_id is never learned from and has held_out null; a null label is not learned from but
+gets a prediction; repeated rows each get their own; an empty table gives no rows; further
+columns are ignored by ``identify`` and kept by ``identified``.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -31,8 +38,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SAMPLE_DOCS = 1500
-MIN_CONTEXT = 2
-SYMBOLS = 128
 SLICE = 1 << 20
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, bits_per_byte double"
 
@@ -74,45 +79,33 @@ def _grams(frames):
 class Model:
     """Frozen trees of all languages: ``rows[context] -> row``, ``bits[row, symbol, language]``."""
 
-    def __init__(self, counts: pd.DataFrame, min_context: int = MIN_CONTEXT):
+    def __init__(self, counts: pd.DataFrame):
         self.langs = sorted(counts["lang"].unique())
         fold = folding()
-        used = np.zeros(256)
-        np.add.at(used, (counts["key"].to_numpy() & 255), counts["n"].to_numpy())
-        best = [b for b in np.argsort(-used, kind="stable") if used[b] > 0][: SYMBOLS - 2]
-        sym = np.full(256, SYMBOLS - 1, np.int64)
-        for i, b in enumerate(best):
-            sym[b] = i
-        space = sym[32]
-        self.symbol = sym[fold].astype(np.int32)
-        self.space = int(space)
-        s = SYMBOLS
+        used = np.unique(counts["key"].to_numpy() & 255)
+        # The last symbol is any byte that the sample does not hold.
+        s = len(used) + 1
+        sym = np.full(256, s - 1, np.int64)
+        sym[used] = np.arange(len(used))
+        if 32 not in used:
+            sym[32] = s - 1
+        self.symbol, self.symbols = sym[fold].astype(np.int32), s
         per = []
         for lang in self.langs:
             c = counts[counts["lang"] == lang]
             k, n = c["key"].to_numpy(), c["n"].to_numpy().astype(np.float64)
-            a = [sym[(k >> x) & 255] for x in (24, 16, 8, 0)]
-            per.append((a, n))
-        known = []
-        for order in (1, 2, 3):
-            seen: dict[int, float] = {}
-            for a, n in per:
-                ctx = sum(a[3 - j] << (7 * (j - 1)) for j in range(1, order + 1))
-                u, inv = np.unique(ctx, return_inverse=True)
-                tot = np.bincount(inv, n)
-                for x, t in zip(u.tolist(), tot.tolist(), strict=True):
-                    seen[x] = seen.get(x, 0.0) + t
-            known.append(np.array(sorted(x for x, t in seen.items() if t >= min_context), np.int64))
+            per.append(([sym[(k >> x) & 255] for x in (24, 16, 8, 0)], n))
+
+        def context(a: list[np.ndarray], order: int) -> np.ndarray:
+            return sum(a[3 - j] * s ** (j - 1) for j in range(1, order + 1))
+
+        known = [np.unique(np.concatenate([context(a, order) for a, _ in per])) for order in (1, 2, 3)]
         at = np.cumsum([0, 1] + [len(x) for x in known])
         # context -> row of the longest context that any language knows
-        rows = np.zeros(s * s * s, np.int32)
-        ctx = np.arange(s * s * s, dtype=np.int64)
+        rows = np.zeros(s**3, np.int32)
         for order, ks in enumerate(known, 1):
-            short = ctx & ((1 << (7 * order)) - 1)
-            dense = np.full(1 << (7 * order), -1, np.int32)
-            dense[ks] = at[order] + np.arange(len(ks))
-            got = dense[short]
-            rows = np.where(got >= 0, got, rows)
+            wide = rows.reshape(-1, s**order)
+            wide[:, ks] = at[order] + np.arange(len(ks))
         self.rows = rows
         bits = np.zeros((at[-1], s, len(self.langs)), np.float32)
         for li, (a, n) in enumerate(per):
@@ -123,13 +116,13 @@ class Model:
             prob = {0: low[None, :]}
             where = {0: np.zeros(1, np.int64)}
             for order, ks in enumerate(known, 1):
-                c = sum(a[3 - j] << (7 * (j - 1)) for j in range(1, order + 1))
+                c = context(a, order)
                 i = np.searchsorted(ks, c)
                 ok = (i < len(ks)) & (ks[np.minimum(i, max(len(ks) - 1, 0))] == c) if len(ks) else np.zeros(len(c), bool)
                 cnt = np.bincount(i[ok] * s + a[3][ok], n[ok], len(ks) * s).reshape(len(ks), s)
                 tot, d = cnt.sum(1, keepdims=True), (cnt > 0).sum(1, keepdims=True)
                 # a shorter context of a known one is known
-                parent = ks & ((1 << (7 * (order - 1))) - 1)
+                parent = ks % s ** (order - 1)
                 up = prob[order - 1][np.searchsorted(where[order - 1], parent)] if order > 1 else np.repeat(prob[0], len(ks), 0)
                 with np.errstate(invalid="ignore", divide="ignore"):
                     own = np.where(cnt > 0, cnt / (tot + d), d / (tot + d) * up)
@@ -155,7 +148,7 @@ class Model:
             start = np.cumsum(lens) - lens
             b = self.symbol[raw]
             ctx = np.zeros(len(b), np.int32)
-            ctx[3:] = (b[:-3] << 14) | (b[1:-2] << 7) | b[2:-1]
+            ctx[3:] = (b[:-3] * self.symbols + b[1:-2]) * self.symbols + b[2:-1]
             live = np.ones(len(b), bool)
             for j in range(3):
                 live[start + j] = False
@@ -193,24 +186,40 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model | None:
 
 def _model_of(shared) -> Model:
     m = Model.__new__(Model)
-    m.langs, m.symbol, m.space, m.rows, m.bits = shared.value
+    m.langs, m.symbol, m.symbols, m.rows, m.bits = shared.value
     return m
 
 
+def plain_bits(texts: list[bytes]) -> np.ndarray:
+    """The adaptive code of order 0 over folded bytes: what a text costs without knowledge of any language."""
+    fold, out = folding(), np.zeros(len(texts))
+    for i, t in enumerate(texts):
+        n = np.bincount(fold[np.frombuffer(t, np.uint8)], minlength=256)
+        n = n[n > 0]
+        out[i] = (math.lgamma(256 + len(t)) - math.lgamma(256) - sum(math.lgamma(k + 1) for k in n.tolist())) / math.log(2)
+    return out
+
+
 def identified(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
-    """The documents that get a language, rows as they came; those that would get ``und`` go."""
+    """The documents that are text of a learned language, rows as they came, their ``lang`` set to it.
+
+    Those without a letter go, and those that no language codes shorter than ``plain_bits``.
+    """
     lettered = docs.where(F.col("text").rlike(r"\p{L}"))
     model = train(docs, sample_docs)
     if model is None:
-        return docs.limit(0)
-    shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.symbol, model.space, model.rows, model.bits))
+        return lettered
+    shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.symbol, model.symbols, model.rows, model.bits))
 
     def keep(batches):
         m = _model_of(shared)
         for batch in batches:
-            texts = [t.encode("utf-8", "replace") for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
-            finite = np.isfinite(m.code_lengths(texts).min(1, initial=np.inf))
-            yield batch.filter(pa.array(finite))
+            text, lang = (batch.schema.get_field_index(c) for c in ("text", "lang"))
+            texts = [t.encode("utf-8", "replace") for t in batch.column(text).to_pylist()]
+            bits = m.code_lengths(texts)
+            best = pa.array([m.langs[i] for i in bits.argmin(1).tolist()], batch.schema.field(lang).type)
+            columns = [best if i == lang else c for i, c in enumerate(batch.columns)]
+            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(pa.array(bits.min(1, initial=np.inf) < plain_bits(texts)))
 
     return lettered.mapInArrow(keep, docs.schema)
 
@@ -221,7 +230,7 @@ def identify(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     model = train(docs, sample_docs)
     if model is None:
         return rows.select("doc_id", "held_out", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0.0).alias("bits_per_byte"))
-    shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.symbol, model.space, model.rows, model.bits))
+    shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.symbol, model.symbols, model.rows, model.bits))
 
     def score(frames):
         m = _model_of(shared)

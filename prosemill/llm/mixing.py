@@ -94,18 +94,22 @@ def mix(docs: DataFrame, cap: int = CAP, weights: tuple[int, ...] = WEIGHTS, see
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: each document once for every whole repetition, and cut to whole words for a last part.
 
-    Returns the columns of ``docs``; documents that the mix does not take are left out.
+    Returns the columns of ``docs``, whatever their names; documents that the mix does not
+    take are left out. Rows that agree in all columns are copies of each other and share
+    what the mix takes of them; rows that differ anywhere are taken each for itself. Only
+    ``text`` is cut: a column that counts its characters keeps the count of the whole.
     """
-    named = ["doc_id", "source", "text"]
-    d = docs.withColumns({"_k1": F.xxhash64(*named), "_k2": F.xxhash64(F.lit(1), *named)})
-    m = mix(d.select(*named, "_k1", "_k2"), keep=("_k1", "_k2"), **options)
+    # All columns travel in one struct, so that no name of theirs can clash with one used here.
+    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    d = d.select("row", "row.doc_id", "row.source", "row.text", F.xxhash64("row").alias("k1"), F.xxhash64(F.lit(1), "row").alias("k2"))
+    m = mix(d.select("doc_id", "source", "text", "k1", "k2"), keep=("k1", "k2"), **options)
     whole = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(0)
     part = F.when(F.col("size") > 0, F.col("taken") % F.col("size")).otherwise(0)
-    plan = m.groupBy(F.col("keep__k1").alias("_k1"), F.col("keep__k2").alias("_k2")).agg(F.sum(whole).cast("int").alias("_whole"), F.max(part).cast("int").alias("_part"))
-    plan = plan.where("_whole > 0 or _part > 0")
+    plan = m.groupBy(F.col("keep_k1").alias("k1"), F.col("keep_k2").alias("k2")).agg(F.sum(whole).cast("int").alias("whole"), F.max(part).cast("int").alias("part"))
+    plan = plan.where("whole > 0 or part > 0")
     # Rows that repeat a document are taken together, so the text goes through one shuffle.
-    one = d.dropDuplicates(["_k1", "_k2"]).join(plan, ["_k1", "_k2"])
-    last = F.when(F.col("_part") > 0, F.array("_part")).otherwise(F.array().cast("array<int>"))
-    one = one.withColumn("_cut", F.explode(F.concat(F.array_repeat(F.lit(0), F.col("_whole")), last)))
-    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.greatest("_cut", F.lit(1))), " ")
-    return one.select(*[F.when(F.col("_cut") > 0, cut).otherwise(F.col("text")).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+    one = d.dropDuplicates(["k1", "k2"]).join(plan, ["k1", "k2"])
+    last = F.when(F.col("part") > 0, F.array("part")).otherwise(F.array().cast("array<int>"))
+    one = one.withColumn("cut", F.explode(F.concat(F.array_repeat(F.lit(0), F.col("whole")), last)))
+    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.greatest("cut", F.lit(1))), " ")
+    return one.select(*[F.when(F.col("cut") > 0, cut).otherwise(F.col("text")).alias("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -116,7 +116,7 @@ def measure(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, spaced:
         for pdf in frames:
             texts = pdf["text"].tolist()
             n, rem_crc, crcs = [], [], []
-            for lo, hi in in_blocks(texts):
+            for lo, hi in in_blocks(texts, 1 << 21):
                 for x in pieces.encode(texts[lo:hi]):
                     raw = np.concatenate([x, end]).astype("<u4")
                     full = len(raw) // capacity * capacity

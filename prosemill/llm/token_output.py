@@ -4,7 +4,7 @@ Documents are dealt by ranges of doc_id and sorted; each task encodes whole text
 every document with ``end_id`` and closes a shard at about ``SHARD_TOKENS`` ids. A shard is
 compressed on its own by Re-Pair in rounds: count all pairs of neighbours inside documents,
 replace the most frequent ones (left to right, where occurrences overlap) by new
-nonterminals, and again. It stores
+nonterminals, and again until no pair occurs ``LEAST`` times. It stores
 
     magic, number of documents, rules and symbols, first nonterminal
     doc_ids            int64 x documents (nulls marked in a byte each)
@@ -18,7 +18,7 @@ The files are Parquet rows (part, shard, first_token is derived, payload), writt
 so that any store will do; ``decode`` needs one payload only.
 
 Defined cases: null text is empty, so its ids are the end id alone; repeated rows are
-documents of their own; equal doc_ids are ordered by text; a null doc_id sorts first; an
+documents of their own; equal doc_ids are ordered by a hash of the text; a null doc_id sorts first; an
 empty table writes no shard; further columns are ignored.
 """
 
@@ -37,46 +37,49 @@ from prosemill.llm.common import blocks_for, fresh_path
 from prosemill.llm.wordpieces import default_path, in_blocks, pieces_for
 
 SHARD_TOKENS = 1 << 20
-ROUNDS = 4
-RULES_A_ROUND = 4000
+#: A pair is replaced as long as it occurs so often in its shard: a rule takes as much room as six to twelve symbols.
 LEAST = 8
 MAGIC = b"RPG1"
-_BINS = 19
+_BINS = 20
 FILES = "part int, shard int, n_docs long, n_tokens long, payload binary"
 
 
-def compress(ids: np.ndarray, ends: np.ndarray, rounds: int = ROUNDS, per_round: int = RULES_A_ROUND, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """Symbols, their ends by document, rules, first nonterminal."""
+def frequent_pairs(key: np.ndarray, inside: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where pairs stand that occur about ``least`` times or more, or an eighth as often as the most frequent; and these pairs, ascending."""
+    bins = ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _BINS)).astype(np.int32)
+    n = np.bincount(bins[inside], minlength=1 << _BINS)
+    most = int(n.max())
+    while most >= least:
+        # Bins only sift: a bin may be frequent by several pairs, so that none may be left.
+        where = np.flatnonzero((n >= max(least, most >> 3))[bins] & inside)
+        line = np.sort(key[where])
+        head = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))
+        count = np.diff(np.concatenate([head, [len(line)]]))
+        best = np.flatnonzero(count >= max(least, most >> 3))
+        if len(best):
+            return where, line[head[best]]
+        most >>= 3
+    return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+
+
+def compress(ids: np.ndarray, ends: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Symbols, their ends by document, rules, first nonterminal.
+
+    Repeats until no pair occurs ``least`` times: each round replaces all pairs that occur
+    at least an eighth as often as the most frequent one.
+    """
     seq = ids.astype(np.uint32)
-    base = int(seq.max()) + 1 if len(seq) else 0
-    base = max(base, 1)
+    base = int(seq.max()) + 1 if len(seq) else 1
     last = np.zeros(len(seq), bool)
     last[ends - 1] = True
     rules: list[np.ndarray] = []
     made = 0
-    for _ in range(rounds):
-        if len(seq) < 2:
-            break
+    while len(seq) > 1:
         key = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
-        key[last[:-1]] = np.uint64(0xFFFFFFFFFFFFFFFF)
-        bins = ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _BINS)).astype(np.int32)
-        n = np.bincount(bins, minlength=1 << _BINS)
-        n[bins[np.flatnonzero(last[:-1])[:1]]] = 0
-        good = n >= least
-        if good.sum() > per_round:
-            good &= n >= np.partition(n, -per_round)[-per_round]
-        if not good.any():
+        where, chosen = frequent_pairs(key, ~last[:-1], least)
+        if not len(chosen):
             break
-        where = np.flatnonzero(good[bins])
         own = key[where]
-        line = np.sort(own)
-        head = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))
-        keys, count = line[head], np.diff(np.concatenate([head, [len(line)]]))
-        best = np.flatnonzero(count >= least)
-        best = np.sort(best[np.lexsort((keys[best], -count[best]))][:per_round])
-        if not len(best):
-            break
-        chosen = keys[best]
         which = np.minimum(np.searchsorted(chosen, own), len(chosen) - 1)
         hit = chosen[which] == own
         where, which = where[hit], which[hit]
@@ -85,13 +88,16 @@ def compress(ids: np.ndarray, ends: np.ndarray, rounds: int = ROUNDS, per_round:
         start = np.maximum.accumulate(np.where(head, np.arange(len(where)), 0))
         take = (np.arange(len(where)) - start) % 2 == 0
         where, which = where[take], which[take]
+        # A pair that its neighbours have used up gets no rule.
+        used, which = np.unique(which, return_inverse=True)
         seq[where] = (base + made + which).astype(np.uint32)
         last[where] = last[where + 1]
         gone = np.ones(len(seq), bool)
         gone[where + 1] = False
         seq, last = seq[gone], last[gone]
+        chosen = chosen[used]
         rules.append(np.stack([(chosen >> np.uint64(32)).astype(np.uint32), (chosen & np.uint64(0xFFFFFFFF)).astype(np.uint32)], 1))
-        made += len(best)
+        made += len(used)
     table = np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
     return seq, np.flatnonzero(last) + 1, table, base
 
@@ -146,6 +152,17 @@ class Shard:
         self.flat = np.concatenate(own) if own else np.zeros(0, np.uint32)
         self.at = np.cumsum(self.lengths) - self.lengths
 
+    def decode_all(self) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all documents, one after the other, and where each ends."""
+        s = self.symbols.astype(np.int64)
+        deep = s >= self.base
+        size = np.where(deep, self.lengths[np.where(deep, s - self.base, 0)], 1) if len(self.lengths) else np.ones(len(s), np.int64)
+        stop = np.cumsum(size)
+        # Ids of plain symbols stand behind the expansions, so that one look-up serves both.
+        both = np.concatenate([self.flat, np.arange(self.base, dtype=np.uint32)])
+        at = np.where(deep, self.at[np.where(deep, s - self.base, 0)], len(self.flat) + s) if len(self.at) else len(self.flat) + s
+        return both[np.repeat(at - (stop - size), size) + np.arange(int(stop[-1]))], np.cumsum(self.n_tokens, dtype=np.int64)
+
     def decode(self, k: int) -> np.ndarray:
         """The ids of document k of the shard, from its own symbols."""
         s = self.symbols[self.ends[k - 1] if k else 0 : self.ends[k]].astype(np.int64)
@@ -183,7 +200,7 @@ def write_shards(docs: DataFrame, out_dir: str, tokenizer: str | None = None, en
         for pdf in frames:
             texts = pdf["text"].tolist()
             known = [None if pd.isna(d) else int(d) for d in pdf["doc_id"]]
-            for lo, hi in in_blocks(texts):
+            for lo, hi in in_blocks(texts, 1 << 21):
                 for d, x in zip(known[lo:hi], pieces.encode(texts[lo:hi]), strict=True):
                     names.append(d)
                     ids.append(np.concatenate([x, end]))
@@ -193,8 +210,9 @@ def write_shards(docs: DataFrame, out_dir: str, tokenizer: str | None = None, en
         if names:
             yield close()
 
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.repartitionByRange(blocks_for(docs, 1), "doc_id").sortWithinPartitions("doc_id", "text")
+    # The hash parts rows that share a doc_id, or have none, among tasks.
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    rows = rows.repartitionByRange(blocks_for(docs, 1), "doc_id", "h").sortWithinPartitions("doc_id", "h", "text").drop("h")
     rows.mapInPandas(encode, FILES).write.parquet(out_dir)
 
 
@@ -207,7 +225,9 @@ def read_digests(spark, out_dir: str) -> DataFrame:
             for part, number, payload in zip(pdf["part"], pdf["shard"], pdf["payload"], strict=True):
                 shard = Shard(payload)
                 n = shard.n_tokens.astype(np.int64)
-                crc = [zlib.crc32(shard.decode(k).astype("<u4").tobytes()) for k in range(len(n))]
+                flat, stop = shard.decode_all()
+                raw = memoryview(flat.astype("<u4").tobytes())
+                crc = [zlib.crc32(raw[4 * (b - k) : 4 * b]) for b, k in zip(stop.tolist(), n.tolist(), strict=True)]
                 yield pd.DataFrame(
                     {"part": part, "shard": number, "doc_id": pd.array(shard.doc_ids, "Int64"), "own": np.cumsum(n) - n, "n_tokens": n, "ids_crc32": np.array(crc, np.int64)}
                 )

@@ -37,16 +37,29 @@ class WordHasher:
             self.values[65:91] = self.values[97:123]
         self.up = self.down = np.zeros(0, np.uint64)
 
+    def spans(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hashes of these ranges of bytes, ascending, whatever they hold; meant for short ones (a few words)."""
+        out, k = np.empty(len(start), np.uint64), 0
+        while k < len(start):
+            lo = int(start[k])
+            j = max(k + 1, int(np.searchsorted(end, lo + SLICE, "right")))
+            out[k:j] = self._spans(raw[lo : int(end[j - 1])], start[k:j] - lo, end[k:j] - lo)
+            k = j
+        return out
+
+    def _spans(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        if len(self.up) <= len(raw):
+            self.up, self.down = _powers(_ODD, len(raw)), _powers(pow(_ODD, -1, 1 << 64), len(raw))
+        run = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum(self.values[raw] * self.up[: len(raw)], out=run[1:])
+        return mix((run[end] - run[start]) * self.down[start] + (end - start).astype(np.uint64))
+
     def _slice(self, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         space = np.ones(len(raw) + 2, bool)
         space[1:-1] = _SPACE[raw]
         edge = np.flatnonzero(space[1:] != space[:-1])
         start, end = edge[::2], edge[1::2]
-        if len(self.up) <= len(raw):
-            self.up, self.down = _powers(_ODD, len(raw)), _powers(pow(_ODD, -1, 1 << 64), len(raw))
-        run = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum(self.values[raw] * self.up[: len(raw)], out=run[1:])
-        return mix((run[end] - run[start]) * self.down[start] + (end - start).astype(np.uint64)), start, end
+        return self._spans(raw, start, end), start, end
 
     def __call__(self, raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Hash, start and end of every word in these bytes."""

@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from prosemill.llm import embedding_dedup, language_id, license_scan, mixing, ngram_join, packing, pii, substring_dedup, token_output, topk
@@ -173,19 +174,48 @@ def test_repair_round_trip():
     assert shard.doc_ids == [3, None, 5, 6, 7, 8]
     for k in (5, 2, 0, 4, 1, 3):
         assert shard.decode(k).tolist() == docs[k].tolist()
+    flat, stop = shard.decode_all()
+    assert flat.tolist() == np.concatenate(docs).tolist() and stop.tolist() == np.cumsum([len(d) for d in docs]).tolist()
     assert len(shard.symbols) < sum(map(len, docs)) / 2
 
 
+def test_repair_goes_on_until_no_pair_is_frequent():
+    rnd = np.random.default_rng(1)
+    ids = np.concatenate([rnd.choice([3, 3, 3, 5, 8, 9], 15000), np.tile(rnd.integers(10, 900, 50), 100)]).astype(np.uint32)
+    seq, ends, rules, base = token_output.compress(ids, np.array([9000, 20000]), least=6)
+    pairs = {}
+    for a, b in zip([0, ends[0]], ends, strict=True):
+        own, k = seq[a:b].tolist(), 0
+        for k in range(len(own) - 1):
+            pairs[own[k], own[k + 1]] = pairs.get((own[k], own[k + 1]), 0) + 1
+    assert max(pairs.values()) < 6 and max(len(x) for x in token_output.expansions(rules, base)) > 16
+
+
 @pytest.mark.parametrize(("name", "spaced"), [("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)])
 def test_pieces_equal_the_library(name, spaced):
+    """Odd characters side by side, all of U+0000 to U+024F and marks, and many plain words."""
     rnd = random.Random(2)
-    alphabet = [*"ab Zé._,/ \n\t'sß1２\xa0\r\0中́ΣÀ-", "<|endoftext|>", "  ", " "]
-    texts = ["".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 40))) for _ in range(3000)]
+    odd = [*"ab Zé._,/ \n\t'sß1２\xa0\r\0中́ΣÀ-İ\x1c\x1f\x85\u2028", "<|endoftext|>", "  ", " ", "\n\n", " the", "word", "x" * 70]
+    low = [chr(c) for c in [*range(0x250), 0x300, 0x301, 0x307, 0x345, 0x4E2D, 0x2014]]
+    texts = ["İ,", "a\x1f.b", "x\x1c, y", *["a" + c + "." + c + " " + c + "b," + c for c in low]]
+    texts += ["".join(rnd.choice(odd) for _ in range(rnd.randint(0, 40))) for _ in range(6000)]
+    texts += ["".join(rnd.choice(low) if rnd.random() < 0.3 else rnd.choice("abc ,.") for _ in range(rnd.randint(0, 12))) for _ in range(9000)]
+    texts += [" ".join("".join(rnd.choice("etaoinshrdluéüñßABCÄ") for _ in range(rnd.randint(1, 20))) for _ in range(20)) for _ in range(3000)]
     t, p = Tokenizer.from_file(default_path(name)), Pieces(default_path(name), spaced)
     t.encode_special_tokens = True
-    for lo in range(0, len(texts), 500):
-        got = p.encode(texts[lo : lo + 500])
-        assert [g.tolist() for g in got] == [e.ids for e in t.encode_batch(texts[lo : lo + 500], add_special_tokens=False)]
+    for lo in range(0, len(texts), 1500):
+        got = p.encode(texts[lo : lo + 1500])
+        assert [g.tolist() for g in got] == [e.ids for e in t.encode_batch(texts[lo : lo + 1500], add_special_tokens=False)]
+
+
+def test_pieces_after_the_table_was_emptied(monkeypatch):
+    from prosemill.llm import wordpieces
+
+    monkeypatch.setattr(wordpieces, "MEMO", 50)
+    t, p = Tokenizer.from_file(default_path("byte_bpe_50k.json")), Pieces(default_path("byte_bpe_50k.json"), True)
+    for k in range(6):
+        texts = [f"alpha{k} beta {chr(97 + (i * k) % 26) * 3} gam{i}" for i in range(40)]
+        assert [g.tolist() for g in p.encode(texts)] == [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
 def test_license_scan(spark):
@@ -202,6 +232,18 @@ def test_license_scan(spark):
     assert got == {1: (2, "MIT,Proprietary"), 2: (1, "Apache-2.0"), 3: (2, "Apache-2.0"), 4: (2, ""), 5: (0, ""), 6: (0, ""), 7: (0, "")}
 
 
+def test_embeddings_are_compared_in_double_precision(spark):
+    def at(cosine, k):
+        v = [0.0] * 12
+        v[0], v[1 + k] = cosine, float(np.sqrt(1 - cosine * cosine))
+        return v
+
+    rows = [(0, at(1.0, 0)), (1, at(0.9 + 1e-9, 0)), (2, at(0.9 - 1e-9, 3)), (3, at(0.9 + 1e-9, 6)), (4, at(0.9 - 1e-9, 8))]
+    got = {r["vec_id"]: r["n_links"] for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {0: 2, 1: 1, 2: 0, 3: 1, 4: 0}
+    assert embedding_dedup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
+
+
 @pytest.mark.parametrize("chunk", [4096, 20])
 def test_embedding_dedup(spark, chunk):
     rnd = np.random.default_rng(5)
@@ -262,19 +304,65 @@ def test_language_id(spark):
     assert {r["lang_pred"] for r in language_id.identify(table(spark, [(5, "abc", None, None)])).collect()} == {"und"}
 
 
-def test_code_lengths_come_from_probabilities():
-    """Escapes without exclusion leave some mass unused, never more than one in all."""
-    frame = pd.DataFrame({"lang": ["x", "y"], "text": ["abracadabra " * 9, "ciónes " * 7]})
-    m = language_id.Model(next(language_id._grams(iter([frame]))))
-    mass = np.exp2(-m.bits.astype(float)).sum(1)
-    assert (mass <= 1 + 1e-4).all() and (mass > 0.3).all()
-    slow = sum(m.bits[m.rows[c], s] for c, s in contexts(m, b"abra"))
-    assert np.allclose(m.code_lengths([b"abra"])[0], slow, atol=1e-4)
-
-
-def contexts(m, raw):
-    padded = [int(m.symbol[b]) for b in b"   " + raw]
-    return [((padded[i - 3] << 14) | (padded[i - 2] << 7) | padded[i - 1], padded[i]) for i in range(3, len(padded))]
+def brute_code_length(train, text):
+    """PPM by dictionaries: escapes of method C, no exclusion, from the longest context that any language knows."""
+    fold = {**{b: b for b in range(256)}, **{b: b + 32 for b in range(65, 91)}, **{b: 48 for b in range(48, 58)}, **{b: 32 for b in range(9, 14)}}
+    rows = {x: [[fold[b] for b in b"   " + t.encode()] for t in ts] for x, ts in train.items()}
+    alphabet = {r[i] for rs in rows.values() for r in rs for i in range(3, len(r))}
+    alphabet |= {b for rs in rows.values() for r in rs for b in r if b in alphabet}
+    count = {x: {} for x in train}
+    for x, rs in rows.items():
+        for r in rs:
+            for i in range(3, len(r)):
+                for o in range(4):
+                    count[x].setdefault(tuple(r[i - o : i]), {}).setdefault(r[i], 0)
+                    count[x][tuple(r[i - o : i])][r[i]] += 1
+
+    def p(x, ctx, b):
+        own = count[x].get(ctx)
+        low = 1 / (len(alphabet) + 1) if not ctx else None
+        if own is None:
+            return p(x, ctx[1:], b) if ctx else low
+        n, d = sum(own.values()), len(own)
+        if b in own:
+            return own[b] / (n + d)
+        return d / (n + d) * (low if not ctx else p(x, ctx[1:], b))
+
+    out = {}
+    raw = [fold[b] for b in b"   " + text.encode()]
+    for x in train:
+        out[x] = 0
+        for i in range(3, len(raw)):
+            ctx = tuple(raw[i - 3 : i])
+            while ctx and not any(ctx in count[y] for y in train):
+                ctx = ctx[1:]
+            out[x] -= np.log2(p(x, ctx, raw[i]))
+    return out
+
+
+def test_code_lengths_against_brute_force():
+    train = {"x": ["abracadabra, Bar 12", "a barn"], "y": ["ciónes de  la acción", "nación\n9"]}
+    frame = pd.DataFrame([(x, t) for x, ts in train.items() for t in ts], columns=["lang", "text"])
+    counts = pd.concat(language_id._grams(iter([frame]))).groupby(["lang", "key"], as_index=False)["n"].sum()
+    m = language_id.Model(counts)
+    texts = ["abra", "la barca", "\xff zzz 中", "Nación 123", ""]
+    got = m.code_lengths([t.encode() for t in texts])
+    for t, row in zip(texts, got, strict=True):
+        want = brute_code_length(train, t)
+        assert np.allclose(row, [want[x] for x in m.langs], rtol=1e-5), t
+
+
+def test_language_filter(spark):
+    rnd = random.Random(3)
+    syllables = {"de": ["sch", "ung", "ein", "ver", "heit", "ü"], "fr": ["eau", "oux", "ment", "é", "qui", "le"]}
+    rows = [(i, " ".join("".join(rnd.choice(syllables[x]) for _ in range(3)) for _ in range(30)), x, "s") for i in range(200) for x in [rnd.choice(["de", "fr"])]]
+    odd = [(300, "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz0123456789+/ ") for _ in range(3000)), None, "s"), (301, "77 !", "fr", "s"), (302, None, "fr", "s"), (303, "schung einheit", None, "s")]
+    docs = table(spark, [*rows, *odd, rows[0]])
+    out = language_id.identified(docs)
+    assert out.columns == docs.columns
+    got = sorted((r["doc_id"], r["text"], r["lang"]) for r in out.collect())
+    assert got == sorted([(i, t, x) for i, t, x, _ in [*rows, rows[0]]] + [(303, "schung einheit", "de")])
+    assert sorted(r["doc_id"] for r in language_id.identified(docs.withColumn("lang", F.lit(None).cast("string"))).collect()) == sorted([r[0] for r in [*rows, *odd, rows[0]] if r[0] not in (301, 302)])
 
 
 def test_mixing(spark, rows):
@@ -297,3 +385,13 @@ def test_mixing(spark, rows):
     out = mixing.mixed_documents(docs)
     assert out.columns == docs.columns and abs(sum(len(words(r["text"])) for r in out.collect()) - total) <= len(by)
     assert mixing.mix(docs.limit(0)).count() == 0
+
+
+def test_mixed_documents_keep_rows_and_columns(spark):
+    """Names that the operator might use inside, and rows that agree in doc_id, source and text only."""
+    rows = [(i // 2, f"one two three {i // 2}", "s", f"row {i}", i) for i in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, k1 string, whole long")
+    docs = docs.withColumns({"_k1": F.col("k1"), "cut": F.col("whole"), "row": F.col("k1")})
+    out = mixing.mixed_documents(docs)
+    assert out.columns == docs.columns
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, docs.collect()))

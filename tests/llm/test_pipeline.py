@@ -8,6 +8,7 @@ import numpy as np
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from prosemill.llm import language_id
 from prosemill.llm.wordpieces import default_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -35,7 +36,12 @@ def test_pipeline(spark, tmp_path):
         assert d.columns == [c.split()[0] for c in SCHEMA.split(", ")]
 
     lettered = [r for r in rows if r[1] and re.search("[a-z]", r[1])]
-    assert sorted(tuple(r) for r in kept[0].collect()) == lettered
+    first = kept[0].collect()
+    assert sorted((r["doc_id"], r["text"], r["source"]) for r in first) == [(i, t, s) for i, t, _, s, _ in lettered]
+    lang = {r["doc_id"]: r["lang"] for r in first}
+    told = {r["doc_id"]: r["lang_pred"] for r in language_id.identify(spark.read.parquet(str(tmp_path / "documents.parquet"))).collect()}
+    assert lang == {i: told[i] for i in lang}
+    lettered = [(i, t, lang[i], s, n) for i, t, _, s, n in lettered]
 
     root = {r[0]: r[0] for r in lettered}
     for a in lettered:
