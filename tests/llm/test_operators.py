@@ -218,18 +218,83 @@ def test_pieces_after_the_table_was_emptied(monkeypatch):
         assert [g.tolist() for g in p.encode(texts)] == [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
+MIT = """Copyright (c) 2019 Some One
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+"""
+BSD2 = """Copyright (c) 2001, The Example Project. All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+BSD_ASIS = """
+THIS SOFTWARE IS PROVIDED BY THE REGENTS AND CONTRIBUTORS "AS IS" AND
+ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED
+WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE REGENTS BE LIABLE."""
+BSD3 = """3. Neither the name of the University nor the names of its contributors
+   may be used to endorse or promote products derived from this software
+   without specific prior written permission.
+"""
+APACHE = """/*
+ * Licensed under the Apache License, Version 2.0 (the "License");
+ * you may not use this file except in compliance with the License.
+ * You may obtain a copy of the License at
+ *
+ *     http://www.apache.org/licenses/LICENSE-2.0
+ *
+ * Unless required by applicable law or agreed to in writing, software
+ * distributed under the License is distributed on an "AS IS" BASIS,
+ * WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+ */"""
+GPL3 = """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+"""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH
+REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY
+AND FITNESS. IN NO EVENT"""
+MPL = """# This Source Code Form is subject to the terms of the Mozilla Public
+# License, v. 2.0. If a copy of the MPL was not distributed with this
+# file, You can obtain one at http://mozilla.org/MPL/2.0/."""
+
+
 def test_license_scan(spark):
-    rows = [
-        (1, "x. Released under the MIT License.\nAll rights reserved.", None, None),
-        (2, "Licensed under the Apache License, Version 2.0.", None, None),
-        (3, "You may not use this file except in compliance with the License. You may obtain a copy of the License at", None, None),
-        (4, "You may obtain a copy of the License at: nothing. You may not use this file except in compliance with the License.", None, None),
-        (5, None, None, None),
-        (6, "", None, None),
-        (7, "a licence " * 5000, None, None),
-    ]
-    got = {r["doc_id"]: (r["n_known"], r["licenses"]) for r in license_scan.scan(table(spark, rows)).collect()}
-    assert got == {1: (2, "MIT,Proprietary"), 2: (1, "Apache-2.0"), 3: (2, "Apache-2.0"), 4: (2, ""), 5: (0, ""), 6: (0, ""), 7: (0, "")}
+    texts = {
+        1: ("x. Released under the MIT License.\nAll rights reserved.", "MIT"),
+        2: ("Licensed under the Apache License, Version 2.0.", "Apache-2.0"),
+        3: ("a line without an end\nLicensed under CC BY-NC 4.0.\nand more", "CC-BY-NC-4.0"),
+        4: ("You may obtain a copy of the License at: nothing. You may not use this file except in compliance with the License.", ""),
+        5: (None, ""), 6: ("", ""), 7: ("a licence " * 5000, ""), 8: ("All rights reserved.", ""),
+        9: (MIT, "MIT"), 10: (BSD2 + BSD_ASIS, "BSD-2-Clause"), 11: (BSD2 + BSD3 + BSD_ASIS, "BSD-3-Clause"), 12: (APACHE, "Apache-2.0"),
+        13: (GPL3, "GPL-3.0"), 14: (ISC, "ISC"), 15: (MPL, "MPL-2.0"), 16: ("\n".join("// " + x for x in MIT.split("\n")), "MIT"),
+        17: (MIT.replace("\n", "\r\n") + ISC, "ISC,MIT"), 18: (BSD2, ""),
+    }
+    docs = table(spark, [(i, t, None, None) for i, (t, _) in texts.items()] + [(1, texts[1][0], None, None)])
+    got = license_scan.scan(docs).collect()
+    assert len(got) == len(texts) + 1
+    assert {r["doc_id"]: r["licenses"] for r in got} == {i: x for i, (_, x) in texts.items()}
+    assert {r["doc_id"]: r["n_known"] for r in got}[8] == 1
+    assert license_scan.scan(docs.limit(0)).count() == 0
 
 
 def test_embeddings_are_compared_in_double_precision(spark):
