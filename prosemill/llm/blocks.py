@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prosemill.llm.common import blocks_for, materialize
+from prosemill.llm.common import blocks_for, materialize, trim
 
 BLOCK = 1 << 22
 MOST_DOCS = 60_000
@@ -98,6 +98,7 @@ def blocks_of(batches: Iterable[pa.RecordBatch], size: int) -> Iterator[tuple[in
             lo = hi
     if texts:
         yield close()
+    trim()
 
 
 def stable(docs: DataFrame) -> DataFrame:
@@ -139,6 +140,7 @@ def answers(asked_rows: DataFrame, answer: Callable[[list[bytes]], list[bytes]],
 
     def run(table: pa.Table) -> pa.Table:
         out = answer(table.column("payload").to_pylist())
+        trim()
         return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "crc": table.column("crc"), "payload": pa.array(out, pa.binary())})
 
     return materialize(asked_rows.groupBy("bucket").applyInArrow(run, ANSWERED), tag)
@@ -166,6 +168,8 @@ def met(texts: DataFrame, answered: DataFrame, work: Callable[[int, Block, dict[
         own: dict[str, list[bytes]] = {}
         for row in right.select(["kind", "payload"]).take(pc.sort_indices(right.column("bucket"))).to_pylist():
             own.setdefault(row["kind"], []).append(row["payload"])
-        return work(number, block, own)
+        out = work(number, block, own)
+        trim()
+        return out
 
     return texts.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(run, schema)

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,6 +52,25 @@ def discard(*tables: DataFrame) -> None:
                 where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def trim() -> None:
+    """Gives what a worker has freed back to the system, where its C library can: workers idle on between stages."""
+    if free := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        free(0)
+
+
+def in_parts(batches: Iterable[pa.RecordBatch], column: int, size: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Parts of the batches with about so many bytes of text, and these texts (a null is empty); memory follows the part."""
+    for batch in batches:
+        text = batch.column(column).cast(pa.binary())
+        at = pc.cumulative_sum(pc.cast(pc.fill_null(pc.binary_length(text), 0), pa.int64())).to_numpy()
+        lo = 0
+        while lo < len(text):
+            hi = min(len(text), int(at.searchsorted((int(at[lo - 1]) if lo else 0) + size)) + 1)
+            yield batch.slice(lo, hi - lo), [t or b"" for t in text.slice(lo, hi - lo).to_pylist()]
+            lo = hi
+    trim()
+
+
 def blocks_for(df: DataFrame, per_input_split: int = 2) -> int:
     """A partition count that follows the input: so many for each of its splits."""
     spark = df.sparkSession

@@ -37,6 +37,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from prosemill.llm.common import in_parts
+
 SAMPLE_DOCS = 1500
 SLICE = 1 << 20
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, bits_per_byte double"
@@ -211,11 +213,12 @@ def identified(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
         return lettered
     shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.symbol, model.symbols, model.rows, model.bits))
 
+    column = docs.columns.index("text")
+
     def keep(batches):
         m = _model_of(shared)
-        for batch in batches:
-            text, lang = (batch.schema.get_field_index(c) for c in ("text", "lang"))
-            texts = [t.encode("utf-8", "replace") for t in batch.column(text).to_pylist()]
+        for batch, texts in in_parts(batches, column):
+            lang = batch.schema.get_field_index("lang")
             bits = m.code_lengths(texts)
             best = pa.array([m.langs[i] for i in bits.argmin(1).tolist()], batch.schema.field(lang).type)
             columns = [best if i == lang else c for i, c in enumerate(batch.columns)]
@@ -232,19 +235,17 @@ def identify(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
         return rows.select("doc_id", "held_out", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0.0).alias("bits_per_byte"))
     shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.symbol, model.symbols, model.rows, model.bits))
 
-    def score(frames):
+    def score(batches):
         m = _model_of(shared)
         names = np.array([*m.langs, "und"], object)
-        for pdf in frames:
-            texts = [t.encode("utf-8", "replace") if t is not None else b"" for t in pdf["text"]]
+        for part, texts in in_parts(batches, 2):
             bits = m.code_lengths(texts)
             best = bits.argmin(1)
             low = bits.min(1)
             share = 1.0 / np.exp2(np.maximum(low[:, None] - bits, -1000)).sum(1)
-            und = pdf["text"].isna().to_numpy()
+            und = part.column(2).is_null().to_numpy(zero_copy_only=False)
             size = np.maximum(1, np.array([len(t) for t in texts]))
-            yield pd.DataFrame(
-                {"doc_id": pdf["doc_id"], "held_out": pdf["held_out"], "lang_pred": names[np.where(und, len(m.langs), best)], "score": np.where(und, 0.0, share), "bits_per_byte": np.where(und, 0.0, low / size)}
-            )
+            own = [pa.array(names[np.where(und, len(m.langs), best)], pa.string()), pa.array(np.where(und, 0.0, share)), pa.array(np.where(und, 0.0, low / size))]
+            yield pa.record_batch([part.column(0).cast(pa.int64()), part.column(1), *own], names=["doc_id", "held_out", "lang_pred", "score", "bits_per_byte"])
 
-    return rows.mapInPandas(score, SCHEMA)
+    return rows.mapInArrow(score, SCHEMA)

@@ -22,11 +22,12 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from prosemill.llm.common import materialize
-from prosemill.llm.wordpieces import default_path, in_blocks, pieces_for
+from prosemill.llm.common import in_parts, materialize
+from prosemill.llm.wordpieces import default_path, pieces_for
 
 CAPACITY = 2048
 WIDTH = 8
@@ -111,23 +112,22 @@ def cutting_patterns(sizes: list[int], demand: list[int], capacity: int, pivots:
 def measure(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, spaced: bool = True) -> DataFrame:
     """One row a document: its token count and the crc32 of each whole piece and of the remainder."""
 
-    def run(frames):
+    def run(batches):
         pieces, end = pieces_for(tokenizer, spaced), np.array([end_id], np.uint32)
-        for pdf in frames:
-            texts = pdf["text"].tolist()
+        for part, texts in in_parts(batches, 2):
             n, rem_crc, crcs = [], [], []
-            for lo, hi in in_blocks(texts, 1 << 21):
-                for x in pieces.encode(texts[lo:hi]):
-                    raw = np.concatenate([x, end]).astype("<u4")
-                    full = len(raw) // capacity * capacity
-                    n.append(len(raw))
-                    crcs.append([zlib.crc32(raw[i : i + capacity].tobytes()) for i in range(0, full, capacity)])
-                    rem_crc.append(zlib.crc32(raw[full:].tobytes()))
+            for x in pieces.encode(texts):
+                raw = np.concatenate([x, end]).astype("<u4")
+                full = len(raw) // capacity * capacity
+                n.append(len(raw))
+                crcs.append([zlib.crc32(raw[i : i + capacity].tobytes()) for i in range(0, full, capacity)])
+                rem_crc.append(zlib.crc32(raw[full:].tobytes()))
             n = np.array(n, np.int64)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "h": pdf["h"], "n_tokens": n, "rem": n % capacity, "rem_crc": rem_crc, "crcs": crcs})
+            own = [part.column(0).cast(pa.int64()), part.column(1), pa.array(n), pa.array(n % capacity), pa.array(rem_crc, pa.int64()), pa.array(crcs, pa.list_(pa.int64()))]
+            yield pa.record_batch(own, names=["doc_id", "h", "n_tokens", "rem", "rem_crc", "crcs"])
 
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
-    return rows.mapInPandas(run, MEASURED)
+    text = F.coalesce("text", F.lit(""))
+    return docs.select("doc_id", F.xxhash64(text).alias("h"), text.alias("text")).mapInArrow(run, MEASURED)
 
 
 def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1, capacity: int = CAPACITY, width: int = WIDTH, spaced: bool = True) -> DataFrame:
