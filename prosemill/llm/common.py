@@ -39,6 +39,7 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, tag)
     df.write.parquet(path)
+    trim()
     return spark.read.schema(df.schema).parquet(path)
 
 
