@@ -2,8 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir), works on all rows its predecessor kept and calls one
 operator. Between stages the rows are written as Parquet to the shared folder and read
-again. All but the last return the columns of ``documents``; the last returns the pieces of
-the packed sequences.
+again. All but the last return the columns of ``documents``, whatever further columns and
+names there are; the last returns the pieces of the packed sequences.
+
+Defined cases: rows with a null or letterless text go in the first stage, so the others meet
+none; rows that repeat doc_id and text are one document after the second; a null doc_id or
+source is a value like any other, but a row without doc_id links with nothing; an empty table
+gives no rows in any stage.
 """
 
 from __future__ import annotations
@@ -18,7 +23,7 @@ ORACLE_SQL = None
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a recognisable language go."""
+    """Documents that no learned language codes better than a code without one go; ``lang`` is set to the language found. Without any label, what has a letter stays."""
     return language_id.identified(docs)
 
 
@@ -28,12 +33,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data is replaced by the name of its kind."""
+    """Personal data is replaced by the name of its kind; all rows stay."""
     return pii.redact(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are repeated, left out or cut as the target weights of their sources ask."""
+    """Documents are repeated, left out or cut as the target weights of their sources ask; rows that differ in any column count apart."""
     return mixing.mixed_documents(docs)
 
 
