@@ -17,7 +17,7 @@ from prosemill.operators import check as checks
 from prosemill.operators import markdown
 from prosemill.operators.check import check
 from prosemill.operators.fix import fix
-from prosemill.plans.config import DEFAULT_ON, EXPERIMENTAL, IDS, Config, rules_table
+from prosemill.plans.config import EXPERIMENTAL, Config, rules_table
 from prosemill.streaming import hook
 
 _SRC, _LANG, _ID = "coalesce(source, '')", "coalesce(lang, '')", "cast(doc_id as varchar(20))"
@@ -42,6 +42,9 @@ SEEDS = {
 _NL = "chr(10)"
 FENCED = f"concat('文a', {_NL}, case doc_id % 3 when 0 then '```' when 1 then '  ~~~ x' else '' end, {_NL}, '码b', {_NL}, case doc_id % 2 when 0 then '~~~' else '正c' end, {_NL}, '尾d', {_NL})"
 DIRECTED = f"concat('文a', {_NL}, case doc_id % 4 when 0 then '<!-- prosemill-disable zh-typography-4 -->' when 1 then '<!-- prosemill-disable -->' when 2 then '<!-- prosemill-disable-next-line zh-typography-4,zh-typography-5 -->' else '<!-- prosemill-disable , -->' end, {_NL}, '文b1', {_NL}, '文c', {_NL}, case doc_id % 3 when 0 then '<!-- prosemill-enable zh-typography-4 -->' else '说' end, {_NL}, '文d')"
+SHAPED = f"concat('# ', {_LANG}, chr(10), '- a', chr(10), '1. b', chr(10), {FENCED}, '#x')"
+BEFORE = "concat('# a', chr(10), '- b')"
+AFTER = "case doc_id % 2 when 0 then concat('# a', chr(10), 'b') else concat('# a', chr(10), '- b') end"
 WHOLE = "concat(" + f", {_NL}, ".join([SEEDS[s] for s in SEEDS] + [FENCED, DIRECTED, "concat('见https://example.com/', cast(doc_id as varchar(20)), 'a,再看「サンプル,a」(https://example.com/b)')"]) + ")"
 
 
@@ -111,7 +114,8 @@ _EXTRACT = {
     "check_zh_typography_6": ("unit", "len(regexp_extract_all(concat(' ', replace(t, '与', '  '), ' '), '[^A-Za-z0-9][0-9]+(?:MB|ms|GHz)[^A-Za-z0-9]'))"),
     "check_zh_typography_9": ("link", "len(regexp_extract_all(t, '[一-鿿]\\[[^\\]]*\\]\\('))"),
     "check_zh_typography_11": ("space", "len(regexp_extract_all(t, '[^ —⸺|] +[，。、；：？！]')) + len(regexp_extract_all(t, '[，。、；：？！] +[^ —⸺|]'))"),
-    "check_zh_typography_7": ("code", "2 + case when doc_id % 2 = 0 then 2 else 0 end"),
+    # The spans are every second piece between backticks; an odd last backtick opens none.
+    "check_zh_typography_7": ("code", "list_sum(list_transform(range(1, (len(t) - len(replace(t, '`', ''))) // 2 + 1), lambda k: regexp_matches(string_split(t, '`')[2 * k - 1], '[一-鿿]$')::int + regexp_matches(string_split(t, '`')[2 * k + 1], '^[一-鿿]')::int))"),
 }
 
 
@@ -122,6 +126,14 @@ def _number(rule: str, family: str):
     return run
 
 
+def _shape(seed: str) -> str:
+    """SQL: headings, fences and items of seeded documents, outside fences."""
+    lines = f"select doc_id, unnest(string_split(t, chr(10))) as line, generate_subscripts(string_split(t, chr(10)), 1) as n from (select doc_id, {seed} as t from documents)"
+    marked = f"select *, ltrim(line)[1:3] in ('```', '~~~') as f from ({lines})"
+    inside = f"select *, f or coalesce(sum(f::int) over (partition by doc_id order by n rows between unbounded preceding and 1 preceding), 0) % 2 = 1 as v from ({marked})"
+    return f"select doc_id, count(*) filter (not v and regexp_matches(line, '^#+( |$)'))::bigint as headings, count(*) filter (f)::bigint as fences, count(*) filter (not v and regexp_matches(line, '^([-*+]|[0-9]+[.)])( |$)'))::bigint as items from ({inside}) group by doc_id"
+
+
 def lines_check_view(spark, sf_dir):
     d = _docs(spark, sf_dir).select("doc_id", check_lines(F.coalesce("text", F.lit(""))).alias("l"))
     return d.select("doc_id", F.size("l").cast("long").alias("n_lines"), F.length(F.array_join("l", "")).cast("long").alias("n_chars"))
@@ -181,13 +193,11 @@ def fix_full(spark, sf_dir):
 
 
 def shape_counts(spark, sf_dir):
-    return markdown.shape(seeded(spark, sf_dir, f"concat('# ', {_LANG}, chr(10), '- a', chr(10), '1. b', chr(10), {FENCED}, '#x')"))
+    return markdown.shape(seeded(spark, sf_dir, SHAPED))
 
 
 def shape_drift(spark, sf_dir):
-    before = seeded(spark, sf_dir, "concat('# a', chr(10), '- b')")
-    after = seeded(spark, sf_dir, "case doc_id % 2 when 0 then concat('# a', chr(10), 'b') else concat('# a', chr(10), '- b') end")
-    return markdown.shape_drift(before, after)
+    return markdown.shape_drift(seeded(spark, sf_dir, BEFORE), seeded(spark, sf_dir, AFTER))
 
 
 def rule_table(spark, sf_dir):
@@ -225,16 +235,30 @@ def oracle_sql() -> dict[str, str]:
     out["lines_fix_view"] = "select doc_id, (len(text) - len(replace(text, chr(10), '')) + 1)::bigint as n_lines, len(replace(text, chr(10), ''))::bigint as n_chars from (select doc_id, coalesce(text, '') as text from documents)"
     fenced = f"select doc_id, unnest(string_split(t, chr(10))) as line, generate_subscripts(string_split(t, chr(10)), 1) as line_no from (select doc_id, {FENCED} as t from documents)"
     out["fence_verbatim"] = f"select doc_id, line_no::bigint as line_no, f or coalesce(before, 0) % 2 = 1 as verbatim from (select *, sum(f::int) over (partition by doc_id order by line_no rows between unbounded preceding and 1 preceding) as before from (select *, ltrim(line)[1:3] in ('```', '~~~') as f from ({fenced})))"
-    out["directive_masks"] = "select doc_id, l::bigint as line, 3::bigint as start from documents, (values (1), (3), (4), (6)) v(l) where l = 1 or (l in (3, 4, 6) and doc_id % 4 = 3) or (l in (4, 6) and doc_id % 4 = 2) or (l = 6 and doc_id % 4 in (0, 1) and doc_id % 3 = 0)"
+    rule = "zh-typography-4"
+    directed = f"select doc_id, unnest(string_split(t, chr(10))) as line, generate_subscripts(string_split(t, chr(10)), 1) as line_no from (select doc_id, {DIRECTED} as t from documents)"
+    ours = f"(regexp_matches(line, '-(disable|enable|disable-next-line) -->') or regexp_matches(line, '[ ,]{rule}[ ,]'))"
+    acts = f"select *, case when not starts_with(line, '<!-- prosemill-') or not {ours} then null when contains(line, '-next-line') then 2 when contains(line, '-disable') then 1 else 0 end as act from ({directed})"
+    past = "select *, last_value(case when act < 2 then act end ignore nulls) over (partition by doc_id order by line_no rows between unbounded preceding and 1 preceding) as off, lag(act) over (partition by doc_id order by line_no) as prev, list_filter(range(2, len(line) + 1), lambda i: regexp_full_match(line[i-1:i], '[一-鿿][A-Za-z]|[A-Za-z][一-鿿]')) as hits from (" + acts + ")"
+    out["directive_masks"] = f"select doc_id, line_no::bigint as line, strlen(line[1:p-1])::bigint as start from (select *, unnest(hits) as p from ({past}) where coalesce(off, 0) = 0 and coalesce(prev, 0) <> 2)"
     out["severity_summary"] = f"select sum(p)::bigint as errors, sum(d)::bigint as warnings, 1::bigint as exit_code from (select len(regexp_extract_all(t, '[（）]')) as p, len(regexp_extract_all(t, '[０-９]')) as d from (select {SEEDS['width']} as t from documents))"
-    out["clean_documents"] = "select doc_id from documents where doc_id % 7 = 6"
+    tells = "综上所述|赋能|抓手|随时告诉我|希望对你有帮助|不是.*而是|(?i:\\b(?:pivotal|testament|load-bearing)\\b)"
+    out["clean_documents"] = f"select doc_id from (select doc_id, {SEEDS['tells']} as t from documents) where not regexp_matches(t, '{tells}')"
     out["fix_width"] = f"select doc_id, translate({SEEDS['width']}, '（）０１２３４５６７８９', '()0123456789') as fixed from documents"
-    out["fix_terms"] = f"select doc_id, case doc_id % 3 when 0 then replace(t, '秘钥', '密钥') when 1 then t else replace(t, '快取', '缓存') end as fixed from (select doc_id, {SEEDS['terms']} as t from documents)"
-    out["shape_drift"] = "select doc_id, 'items' as part, 1::bigint as before, 0::bigint as after from documents where doc_id % 2 = 0"
-    out["unclosed_spans"] = "select doc_id, doc_id % 2 = 1 as unclosed from documents"
-    rows = ", ".join(f"({i}, '{r}', {r in DEFAULT_ON}, '{'warning' if r in EXPERIMENTAL else 'error'}', '{'experimental' if r in EXPERIMENTAL else 'stable'}', {r.startswith('zh-typography') or r == 'zh-word-1'})" for i, r in enumerate(IDS))
-    out["rule_table"] = f"select * from (values {rows}) v(rule_ord, rule, default_enabled, default_severity, maturity, fixable)"
-    out["prefix_replay_batch"] = "select conv_id::varchar as message_id, turn as index, concat('第 ', turn, ' 轮 role:', coalesce(role, ''), chr(10)) as shown from conversations where text is not null"
+    terms = "t"
+    for wrong, right, near in (("秘钥", "密钥", "secret|key|token|credential|凭证|加密"), ("代币", "令牌", "token|oauth|jwt|鉴权|认证"), ("快取", "缓存", "cache|cdn|命中率")):
+        terms = f"case when regexp_matches(lower(t), '{near}') then replace({terms}, '{wrong}', '{right}') else {terms} end"
+    out["fix_terms"] = f"select doc_id, {terms} as fixed from (select doc_id, {SEEDS['terms']} as t from documents)"
+    out["shape_counts"] = _shape(SHAPED)
+    pairs = " union all ".join(f"select doc_id, '{p}' as part, a.{p} as before, b.{p} as after from a join b using (doc_id)" for p in ("headings", "fences", "items"))
+    out["shape_drift"] = f"with a as ({_shape(BEFORE)}), b as ({_shape(AFTER)}) select * from ({pairs}) where before <> after"
+    out["unclosed_spans"] = f"select doc_id, (len(t) - len(replace(t, '`', ''))) % 2 = 1 as unclosed from (select doc_id, {SEEDS['code']} as t from documents)"
+    kinds = "zh-typography-1 zh-typography-2 zh-typography-3 zh-typography-4 zh-typography-5 zh-typography-6 zh-typography-7 zh-typography-8 zh-typography-9 zh-typography-10 zh-typography-11 zh-tell-1 zh-tell-2 zh-tell-3 zh-tell-4 en-tell-1 en-tell-2 en-tell-3 zh-tell-5 zh-word-1 zh-word-2 yaml-frontmatter-1"
+    trial = "(contains(rule, 'tell') or contains(rule, 'word'))"
+    numbered = f"select unnest(string_split('{kinds}', ' ')) as rule, generate_subscripts(string_split('{kinds}', ' '), 1) - 1 as rule_ord"
+    out["rule_table"] = f"select rule_ord::int as rule_ord, rule, not {trial} and rule <> 'zh-typography-9' as default_enabled, case when {trial} then 'warning' else 'error' end as default_severity, case when {trial} then 'experimental' else 'stable' end as maturity, contains(rule, 'typography') or rule = 'zh-word-1' as fixable from ({numbered})"
+    gap = "regexp_replace(regexp_replace(t, '([一-鿿])([A-Za-z0-9])', '\\1 \\2', 'g'), '([A-Za-z0-9])([一-鿿])', '\\1 \\2', 'g')"
+    out["prefix_replay_batch"] = f"select message_id, index, {gap} as shown from (select conv_id::varchar as message_id, turn as index, concat('第', turn, '轮role:', coalesce(role, ''), chr(10)) as t from conversations where text is not null)"
     return out
 
 
