@@ -6,13 +6,15 @@ prefix are skipped. Whatever goes wrong shows the original and leaves one diagno
 it never loses text.
 
 ``Message`` holds the logic as plain Python over one key's state; ``display`` runs it in
-Structured Streaming with ``applyInPandasWithState``; ``replay_batches`` is the batch form.
+Structured Streaming with ``applyInPandasWithState``; ``start`` writes its answers and its
+diagnostics; ``replay_batches`` is the batch form.
 """
 
 from __future__ import annotations
 
-import re
+import os
 import time
+from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -20,13 +22,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from prosemill.functions.text import iso_timestamp
 from prosemill.operators.fix import fix
-from prosemill.plans.config import Config
+from prosemill.operators.one_text import fix_text, unclosed_run
+from prosemill.plans.config import Config, resolve
 
 EVENT = "hook_event_name string, session_id string, message_id string, turn_id string, `index` bigint, delta string, final boolean, cwd string"
 ANSWER = "session_id string, message_id string, turn_id string, `index` bigint, shown string, step string, kind string"
 #: Limits of a message.
 MOST_BATCHES, MOST_BYTES, WAIT_MS, KEEP_MS = 1000, 256 * 1024, 2000, 3_600_000
+#: Environment variable that, where it is not empty, keeps ``start`` from starting anything.
+DISABLE = "PROSEMILL_HOOK_DISABLE"
 
 
 def events(raw: DataFrame, column: str = "value") -> DataFrame:
@@ -35,34 +41,6 @@ def events(raw: DataFrame, column: str = "value") -> DataFrame:
     return e.where("hook_event_name = 'MessageDisplay' and session_id <> '' and message_id <> '' and turn_id is not null and delta is not null").where(F.col("i").rlike("^[0-9]+$")).drop("i")
 
 
-def unclosed_run(text: str) -> bool:
-    """Does the last open paragraph hold a backtick run without partner? (Plain Python, for one message.)"""
-    fence, paragraph = False, []
-    lines = text.split("\n")
-    if lines and lines[-1] == "":
-        lines.pop()
-    for line in lines:
-        s = line.lstrip()
-        if s.startswith(("```", "~~~")):
-            fence, paragraph = not fence, []
-        elif fence or not s:
-            paragraph = [] if not fence else paragraph
-        else:
-            if re.match(r"^ {0,3}(?:#{1,6}(?:\s|$)|\||(?:[-*_]\s*){3,}$|[-*+]\s|\d{1,9}[.)]\s|>)", line) and not (paragraph and re.match(r"^ {0,3}>", line) and re.match(r"^ {0,3}>", paragraph[-1])):
-                paragraph = []
-            paragraph.append(line)
-            if re.match(r"^ {0,3}(?:#{1,6}(?:\s|$)|\||(?:[-*_]\s*){3,}$)", line):
-                paragraph = []
-    runs = [len(m) for m in re.findall("`+", "\n".join(paragraph))]
-    i = 0
-    while i < len(runs):
-        if runs[i] in runs[i + 1 :]:
-            i = runs.index(runs[i], i + 1) + 1
-        else:
-            return True
-    return False
-
-
 @dataclass
 class Message:
     """State of one message: batches by index, a void marker, and batches that wait."""
@@ -71,6 +49,9 @@ class Message:
     void: bool = False
     waiting: dict[int, tuple[bool, float]] = field(default_factory=dict)
 
+    def __post_init__(self) -> None:
+        self.bytes = sum(len(p.encode()) for p in self.parts.values())
+
     def store(self, index: int, delta: str) -> str | None:
         """A failure kind, or None. The same batch twice is the same batch; another text under one index voids the message."""
         if self.void:
@@ -78,8 +59,10 @@ class Message:
         if self.parts.get(index, delta) != delta:
             self.void = True
             return "conflict"
+        if index not in self.parts:
+            self.bytes += len(delta.encode())
         self.parts[index] = delta
-        if len(self.parts) > MOST_BATCHES or sum(len(p.encode()) for p in self.parts.values()) > MOST_BYTES:
+        if len(self.parts) > MOST_BATCHES or self.bytes > MOST_BYTES:
             self.void = True
             return "limit"
         return None
@@ -123,8 +106,18 @@ class Message:
         return [(i, None, "siblings", "incomplete") for i in sorted(late)]
 
 
-def display(batches: DataFrame, fixer, wait_ms: int = WAIT_MS) -> DataFrame:
-    """Streaming: one row for each batch whose display changes or fails. ``fixer``: text -> fixed text, called per message."""
+def configs_of(folders: Iterable[str]) -> dict[str, Config]:
+    """The configuration of each working folder, read here on the driver: executors may not see those folders."""
+    return {f: resolve(f) for f in folders}
+
+
+def display(batches: DataFrame, fixer: Callable[[str], str] | None = None, wait_ms: int = WAIT_MS, configs: Mapping[str, Config] | None = None) -> DataFrame:
+    """Streaming: one row for each batch whose display changes or fails.
+
+    Without a ``fixer`` (text -> fixed text), ``fix_text`` fixes under the configuration of the
+    event's ``cwd`` in ``configs``, or under the default one where it has none.
+    """
+    known = dict(configs or {})
     state_schema = "indexes array<bigint>, deltas array<string>, void boolean, waiting array<bigint>, finals array<boolean>, since array<double>"
 
     def run(key, frames, state: GroupState):
@@ -140,9 +133,10 @@ def display(batches: DataFrame, fixer, wait_ms: int = WAIT_MS) -> DataFrame:
                 return
         else:
             for pdf in frames:
-                for r in pdf.sort_values("index").itertuples():
+                for r in pdf.sort_values("index", kind="stable").itertuples():
                     try:
-                        rows += m.arrive(int(r.index), r.delta, bool(r.final), now, fixer)
+                        config = known.get(r.cwd)
+                        rows += m.arrive(int(r.index), r.delta, bool(r.final), now, fixer or (lambda t, c=config: fix_text(t, c)))
                     except Exception:  # fail open: the original stays on display
                         rows.append((int(r.index), None, "fix", "failed"))
         state.update((list(m.parts), list(m.parts.values()), m.void, list(m.waiting), [f for f, _ in m.waiting.values()], [s for _, s in m.waiting.values()]))
@@ -150,15 +144,38 @@ def display(batches: DataFrame, fixer, wait_ms: int = WAIT_MS) -> DataFrame:
         if rows:
             yield pd.DataFrame([(*key, *r) for r in rows], columns=["session_id", "message_id", "turn_id", "index", "shown", "step", "kind"])
 
-    keyed = batches.select("session_id", "message_id", "turn_id", F.col("index").alias("index"), "delta", F.coalesce("final", F.lit(False)).alias("final"))
-    renamed = keyed.withColumnRenamed("index", "index_")
-    grouped = renamed.withColumnRenamed("index_", "index").groupBy("session_id", "message_id", "turn_id")
-    return grouped.applyInPandasWithState(run, ANSWER, state_schema, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    keyed = batches.select("session_id", "message_id", "turn_id", "index", "delta", F.coalesce("final", F.lit(False)).alias("final"), "cwd")
+    return keyed.groupBy("session_id", "message_id", "turn_id").applyInPandasWithState(run, ANSWER, state_schema, "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def diagnostics(answers: DataFrame) -> DataFrame:
+def answers(rows: DataFrame) -> DataFrame:
+    """value: the answer as one line of JSON, for batches whose display changes; characters beyond ASCII stay themselves."""
+    shown = F.struct(F.lit("MessageDisplay").alias("hookEventName"), F.col("shown").alias("displayContent"))
+    return rows.where("shown <> ''").select(F.to_json(F.struct(shown.alias("hookSpecificOutput"))).alias("value"))
+
+
+def diagnostics(rows: DataFrame) -> DataFrame:
     """Rows for the log: when, which message, which step, which kind; never the text."""
-    return answers.where("kind is not null").select(F.current_timestamp().alias("at"), "message_id", "step", "kind")
+    return rows.where("kind is not null").select(iso_timestamp(F.current_timestamp()).alias("at"), "message_id", "step", "kind")
+
+
+def start(raw: DataFrame, shown: str, log: str, checkpoint: str, configs: Mapping[str, Config] | None = None, env: Mapping[str, str] = os.environ):
+    """Start the stream over JSON events: answers appended to ``shown`` as text, diagnostics to ``log`` as JSON lines.
+
+    Returns the running query, or None where the environment variable ``DISABLE`` is not empty.
+    """
+    if env.get(DISABLE):
+        return None
+
+    def both(rows: DataFrame, _: int) -> None:
+        rows.persist()
+        try:
+            answers(rows).write.mode("append").text(shown)
+            diagnostics(rows).write.mode("append").json(log)
+        finally:
+            rows.unpersist()
+
+    return display(events(raw), configs=configs).writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(both).start()
 
 
 def replay_batches(batches: DataFrame, config: Config | None = None) -> DataFrame:

@@ -1,5 +1,6 @@
 """Files, ignore patterns, snapshots, rewriting around a fake engine, views, and the stream."""
 
+import json
 import os
 import time
 
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from prosemill.functions import rewrite
 from prosemill.operators import views
 from prosemill.operators.fix import fix
+from prosemill.plans.config import resolve
 from prosemill.sources import files
 from prosemill.streaming import hook
 
@@ -109,6 +111,41 @@ def test_stream(spark, tmp_path):
     assert [(r["index"], r["shown"], r["kind"]) for r in spark.sql("select * from shown").collect()] == [(1, "甲 A\n", None)]
 
 
+def test_started_stream_fixes_by_itself(spark, tmp_path):
+    src, quiet = tmp_path / "in", tmp_path / "quiet"
+    src.mkdir()
+    quiet.mkdir()
+    (quiet / "pyproject.toml").write_text('[tool.prosemill]\ndisable = ["zh-typography-4"]\n')
+    deltas = ["第1个CLI\n\n", "`a`中（甲）\n", "末B"]
+    rows = []
+    for cwd in (str(quiet), "/elsewhere"):
+        for i, d in enumerate(deltas):
+            rows.append({"hook_event_name": "MessageDisplay", "session_id": "s", "message_id": cwd, "turn_id": "t", "index": i, "delta": d, "final": i == 2, "cwd": cwd})
+    rows += [rows[0] | {"message_id": "torn", "delta": d} for d in ("x\n", "y\n")]
+    (src / "a.json").write_text("".join(json.dumps(r) + "\n" for r in rows))
+    raw = spark.readStream.format("text").load(str(src))
+    shown, log = tmp_path / "shown", tmp_path / "log"
+    assert hook.start(raw, str(shown), str(log), str(tmp_path / "c"), env={hook.DISABLE: "1"}) is None
+    query = hook.start(raw, str(shown), str(log), str(tmp_path / "c"), hook.configs_of([str(quiet)]), env={})
+    try:
+        for _ in range(120):
+            if list(log.glob("*.json")):
+                break
+            time.sleep(0.5)
+    finally:
+        query.stop()
+    lines = [json.loads(x)["hookSpecificOutput"] for p in shown.glob("*.txt") for x in p.read_text("utf-8").splitlines()]
+    got = sorted(x["displayContent"] for x in lines)
+    docs = spark.createDataFrame([(1, "".join(deltas))], "doc_id long, text string")
+    want = []
+    for config in (resolve(str(quiet)), None):
+        f = fix(docs, config).first()["fixed"].split("\n")
+        want += [x for x, d in zip(["\n".join(f[:2]) + "\n", f[2] + "\n", f[3]], deltas, strict=True) if x != d]
+    assert got == sorted(want) and {x["hookEventName"] for x in lines} == {"MessageDisplay"}
+    noted = [json.loads(x) for p in log.glob("*.json") for x in p.read_text("utf-8").splitlines()]
+    assert [(n["message_id"], n["step"], n["kind"]) for n in noted] == [("torn", "siblings", "conflict")] and set(noted[0]) == {"at", "message_id", "step", "kind"}
+
+
 def test_replay_equals_whole_fix(spark):
     parts = [(m, i, d) for m in ("m1", "m2") for i, d in enumerate(["第1个CLI\n`a\n", "b`中\n", "（甲）x\n末B"])]
     got = {(r["message_id"], r["index"]): r["shown"] for r in hook.replay_batches(spark.createDataFrame(parts, "message_id string, `index` long, delta string")).collect()}
