@@ -42,6 +42,9 @@ SEEDS = {
 _NL = "chr(10)"
 FENCED = f"concat('文a', {_NL}, case doc_id % 3 when 0 then '```' when 1 then '  ~~~ x' else '' end, {_NL}, '码b', {_NL}, case doc_id % 2 when 0 then '~~~' else '正c' end, {_NL}, '尾d', {_NL})"
 DIRECTED = f"concat('文a', {_NL}, case doc_id % 4 when 0 then '<!-- prosemill-disable zh-typography-4 -->' when 1 then '<!-- prosemill-disable -->' when 2 then '<!-- prosemill-disable-next-line zh-typography-4,zh-typography-5 -->' else '<!-- prosemill-disable , -->' end, {_NL}, '文b1', {_NL}, '文c', {_NL}, case doc_id % 3 when 0 then '<!-- prosemill-enable zh-typography-4 -->' else '说' end, {_NL}, '文d')"
+UNITED = f"concat('共', {_ID}, '年又', {_ID}, '个', case doc_id % 3 when 0 then '在3.5月与7月' when 1 then ' 2日' else '第12,345年' end)"
+FRONT = f"concat('---', {_NL}, 'name: ', case doc_id % 3 when 0 then 'a' when 1 then '[a' else '[a]' end, {_NL}, case doc_id % 4 when 0 then '' else '---' end, {_NL}, '文')"
+GUARDED = f"concat('甲A', case doc_id % 5 when 0 then '`乙B`' when 1 then '[丙](丁D)' when 2 then ' https://a.b/c' when 3 then '「あ戊E」' else '『己F』' end, ' 庚', {_LANG}, '辛G')"
 SHAPED = f"concat('# ', {_LANG}, chr(10), '- a', chr(10), '1. b', chr(10), {FENCED}, '#x')"
 BEFORE = "concat('# a', chr(10), '- b')"
 AFTER = "case doc_id % 2 when 0 then concat('# a', chr(10), 'b') else concat('# a', chr(10), '- b') end"
@@ -119,6 +122,51 @@ _EXTRACT = {
 }
 
 
+def _put(condition: str) -> str:
+    """SQL: t with a space before every position i where the condition holds."""
+    return f"array_to_string(list_transform(range(1, len(t) + 1), lambda i: concat(case when i > 1 and ({condition}) then ' ' else '' end, t[i:i])), '')"
+
+
+_N = "(i+1)"
+_TICKS = "(i - 1 - len(replace(t[1:i-1], '`', '')))"
+_DOT = f"t[i:i] = chr(46) and ({_cjk(_B)} or {_cjk(_N)}) and i > 1 and t[i-1:i-1] <> chr(46) and not {_in(_N, 'A-Za-z0-9.')}"
+#: Fixes by one family of rules: name: rules, seed, fixed text in SQL over t.
+FIX_QUERIES: dict[str, tuple[list[str], str, str]] = {
+    "fix_punctuation": (["zh-typography-1"], "punctuation", f"array_to_string(list_transform(range(1, len(t) + 1), lambda i: case when {_in('i', ',;:?!')} and ((i > 1 and {_cjk(_B)}) or {_cjk(_N)}) then translate(t[i:i], ',;:?!', '，；：？！') when {_DOT} then '。' else t[i:i] end), '')"),
+    "fix_brackets": (["zh-typography-3"], "brackets", _put(f"(t[i:i] = chr(40) and ({_cjk(_B)} or t[i-1:i-1] = chr(41) or ({_in(_B, 'A-Za-z0-9')} and not {_in(_N, 'A-Za-z0-9')}))) or (t[i-1:i-1] = chr(41) and {_in('i', 'A-Za-z0-9一-鿿')})")),
+    "fix_spacing": (["zh-typography-4", "zh-typography-5"], "adjacency", _put(f"({_cjk(_B)} and {_in('i', 'A-Za-z0-9')}) or ({_in(_B, 'A-Za-z0-9')} and {_cjk('i')})")),
+    "fix_units": (["zh-typography-6"], "unit", "regexp_replace(t, '([^A-Za-z0-9])([0-9]+)(MB|ms|GHz)([^A-Za-z0-9]|$)', '\\1\\2 \\3\\4', 'g')"),
+    "fix_code_edges": (["zh-typography-7"], "code", _put(f"{_TICKS} % 2 = 0 and ((t[i:i] = '`' and contains(t[i+1:], '`') and {_cjk(_B)}) or (t[i-1:i-1] = '`' and {_cjk('i')}))")),
+    "fix_dash": (["zh-typography-8"], "dash", _put(f"({_TWO} and {_in(_B, '^ —')}) or (i > 2 and t[i-2:i-1] = '——' and t[i-3:i-3] <> '—' and {_in('i', '^ —')})")),
+    "fix_link": (["zh-typography-9"], "link", "regexp_replace(t, '([一-鿿])(\\[[^\\]]*\\]\\()', '\\1 \\2', 'g')"),
+    "fix_space_runs": (["zh-typography-11"], "space", "regexp_replace(regexp_replace(t, '([^ —⸺|]) +([，。、；：？！])', '\\1\\2', 'g'), '([，。、；：？！]) +([^ —⸺|])', '\\1\\2', 'g')"),
+}
+
+
+def _fixed(rules: list[str], family: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return fix(seeded(spark, sf_dir, SEEDS[family]), Config(enabled=frozenset(rules)))
+
+    return run
+
+
+def check_skip_units(spark, sf_dir):
+    """Rule 5 with units that may follow a number closely."""
+    found = check(seeded(spark, sf_dir, UNITED), Config(enabled=frozenset(["zh-typography-5"]), skip_zh_units="年月"))
+    return found.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("start").cast("long").alias("starts"))
+
+
+def check_front_matter(spark, sf_dir):
+    docs = seeded(spark, sf_dir, FRONT).withColumn("path", F.when(F.col("doc_id") % 5 == 0, "a/b.md").otherwise("a/SKILL.md"))
+    return check(docs, Config(enabled=frozenset(["yaml-frontmatter-1"]))).select("doc_id", "rule").distinct()
+
+
+def check_protected(spark, sf_dir):
+    """Rule 4 beside code, link destinations, bare URLs and quotations with kana."""
+    found = check(seeded(spark, sf_dir, GUARDED), Config(enabled=frozenset(["zh-typography-4"])))
+    return found.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("start").cast("long").alias("starts"))
+
+
 def _number(rule: str, family: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return check(seeded(spark, sf_dir, SEEDS[family]), Config(enabled=frozenset([rule]))).groupBy("doc_id").agg(F.count("*").alias("n"))
@@ -218,11 +266,13 @@ def prefix_replay_batch(spark, sf_dir):
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     plain = [
         lines_check_view, lines_fix_view, fence_verbatim, directive_masks, findings_by_rule, findings_by_lang, severity_summary, clean_documents, report,
-        fix_width, fix_terms, fix_full, shape_counts, shape_drift, rule_table, unclosed_spans, prefix_replay_batch,
+        fix_width, fix_terms, fix_full, check_skip_units, check_front_matter, check_protected, shape_counts, shape_drift, rule_table, unclosed_spans, prefix_replay_batch,
     ]
     out = {f.__name__: f for f in plain}
     for name, (rule, family, sql) in RULE_QUERIES.items():
         out[name] = _count(rule, family) if sql else _number(rule, family)
+    for name, (rules, family, _) in FIX_QUERIES.items():
+        out[name] = _fixed(rules, family)
     return out
 
 
@@ -230,6 +280,17 @@ def oracle_sql() -> dict[str, str]:
     out = {name: _scan(family, sql) for name, (_, family, sql) in RULE_QUERIES.items() if sql}
     for name, (family, sql) in _EXTRACT.items():
         out[name] = f"select doc_id, n::bigint as n from (select doc_id, {sql} as n from (select doc_id, {SEEDS[family]} as t from documents)) where n > 0"
+    for name, (_, family, sql) in FIX_QUERIES.items():
+        out[name] = f"select doc_id, {sql} as fixed from (select doc_id, {SEEDS[family]} as t from documents)"
+    digits = "regexp_extract(t[i:], '^[0-9]+([.,][0-9]+)*')"
+    bare = _at(f"i > 1 and (({_cjk(_B)} and {_in('i', '0-9')} and not {_in(f'(i+len({digits}))', '年月')}) or ({_in(_B, '0-9')} and {_cjk('i')} and not {_in('i', '年月')}))")
+    out["check_skip_units"] = f"with s as (select doc_id, {UNITED} as t from documents), h as (select doc_id, t, unnest({bare}) as p from s) select doc_id, count(*)::bigint as n, sum(strlen(t[1:p-1]))::bigint as starts from h group by doc_id"
+    # Masked text keeps its length in bytes: what is protected becomes as many spaces.
+    spans = "regexp_extract(t, '`([^`]*)`', 1), regexp_extract(t, '\\]\\(([^)]*)\\)', 1), regexp_extract(t, 'https?://[^ ]*'), regexp_extract(t, '「([^」]*[ぁ-ヿ][^」]*)」', 1), regexp_extract(t, '『([^』]*[ぁ-ヿ][^』]*)』', 1)"
+    blanked = f"select doc_id, list_reduce(list_prepend(t, list_filter([{spans}], lambda x: x <> '')), lambda a, x: replace(a, x, repeat(' ', strlen(x)))) as t from (select doc_id, {GUARDED} as t from documents)"
+    touch = _at(f"i > 1 and (({_cjk(_B)} and {_in('i', 'A-Za-z')}) or ({_in(_B, 'A-Za-z')} and {_cjk('i')}))")
+    out["check_protected"] = f"with s as ({blanked}), h as (select doc_id, t, unnest({touch}) as p from s) select doc_id, count(*)::bigint as n, sum(strlen(t[1:p-1]))::bigint as starts from h group by doc_id"
+    out["check_front_matter"] = f"select doc_id, 'yaml-frontmatter-1' as rule from (select doc_id, {FRONT} as t from documents) where doc_id % 5 <> 0 and (not regexp_matches(t, '\\n---\\n') or regexp_matches(t, 'name: \\[[^\\]\\n]*\\n'))"
     ends = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
     out["lines_check_view"] = f"select doc_id, (len(p) - case when p[-1] = '' then 1 else 0 end)::bigint as n_lines, len(array_to_string(p, ''))::bigint as n_chars from (select doc_id, regexp_split_to_array(coalesce(text, ''), '{ends}') as p from documents)"
     out["lines_fix_view"] = "select doc_id, (len(text) - len(replace(text, chr(10), '')) + 1)::bigint as n_lines, len(replace(text, chr(10), ''))::bigint as n_chars from (select doc_id, coalesce(text, '') as text from documents)"
