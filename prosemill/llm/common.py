@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -44,13 +45,21 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Deletes written steps that nothing will read again."""
+    """Deletes written steps that nothing will read again, and what Spark holds for them."""
     for df in tables:
         spark = df.sparkSession
         for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
             if "/prosemill/" in path:
                 where = spark._jvm.org.apache.hadoop.fs.Path(path)
                 where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    if tables:
+        release(tables[0].sparkSession)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark drop shuffle files, broadcasts and plans of steps that are over: it notices them only when the driver's heap is collected."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def trim() -> None:
