@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from prosemill.llm import language_id, mixing, ngram_join, packing, pii
-from prosemill.llm.common import materialize
+from prosemill.llm.common import materialize, release
 
 #: SQL cannot express language identification and packing; the tests compare run() with a brute-force version.
 ORACLE_SQL = None
@@ -62,4 +62,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
             docs = materialize(docs, f"stage-{name}")
+            release(spark)
     return docs
