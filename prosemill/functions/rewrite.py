@@ -1,4 +1,4 @@
-"""Around an external rewriter: prompt layers, failure classes, remembered engine states, guards.
+"""Around an external rewriter: prompt layers, failure classes, remembered engine states, guards (calls: ``engines.py``).
 
 The rewriter itself is a callable that the caller injects; nothing here opens a network
 connection. Prompt texts and the lexicon are files that the caller supplies.
@@ -6,7 +6,6 @@ connection. Prompt texts and the lexicon are files that the caller supplies.
 
 from __future__ import annotations
 
-import subprocess
 import tomllib
 from collections.abc import Callable, Iterator
 
@@ -31,9 +30,10 @@ def classify(output: Column) -> Column:
     return F.when(output.rlike(UNAUTHORIZED), "unauthorized").when(output.rlike(UNREACHABLE), "unreachable").otherwise("failed")
 
 
-def prompt(text: Column, general: str, chinese: str, lexicon: str) -> Column:
-    """The general layer; for text with CJK also the Chinese one and the brief lexicon."""
-    return F.when(text.rlike(f"[{CJK}]"), f"{general}\n{chinese}\n{lexicon}").otherwise(general)
+def prompt(text: Column, general: str, chinese: str, lexicon: str, file_mode: str | None = None, path: Column | None = None) -> Column:
+    """The general layer; for text with CJK also the Chinese one and the brief lexicon; in file mode a layer that names the file ({path})."""
+    spec = F.when(text.rlike(f"[{CJK}]"), f"{general}\n{chinese}\n{lexicon}").otherwise(general)
+    return spec if file_mode is None else F.concat(spec, F.lit("\n"), F.replace(F.lit(file_mode), F.lit("{path}"), path))
 
 
 def remembered(states: DataFrame, now: float) -> DataFrame:
@@ -76,19 +76,6 @@ def render_lexicon(title: str, standard: str, entries: DataFrame, full: bool = T
     return entries.agg(F.concat(F.lit(f"# {title}\n" + (f"\n{standard}\n" if full else "")), body).alias("text"))
 
 
-def run_bounded(command: list[str], text: str, seconds: float = 600, most: int = 1 << 20) -> tuple[str | None, str]:
-    """(answer or None, reason): an external command with a deadline and a cap on its output; no shell."""
-    try:
-        done = subprocess.run(command, input=text.encode(), capture_output=True, timeout=seconds, check=False)
-    except subprocess.TimeoutExpired:
-        return None, "timeout"
-    except OSError:
-        return None, "missing"
-    if len(done.stdout) > most or len(done.stderr) > most:
-        return None, "too much output"
-    return (done.stdout.decode("utf-8"), "") if done.returncode == 0 else (None, "failed")
-
-
 def rewrite(docs: DataFrame, engine: Callable[[str, str], str], prompts: Column) -> DataFrame:
     """doc_id, text, answer: the engine's answer, normalised; null where it is blank or the engine raises."""
 

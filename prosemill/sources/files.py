@@ -122,31 +122,56 @@ def not_ignored(paths: list[str], cwd: str | os.PathLike = ".", tool: str = TOOL
     return [p for p in paths if (r := inside(p)) is None or not ignores(patterns, r)]
 
 
-def walk_markdown(cwd: str | os.PathLike) -> list[str]:
-    """All ``*.md`` below cwd, sorted: hidden ones too, ``.git`` left out, folder links not followed, ``.gitignore`` and ``.ignore`` heeded."""
-    root, out = Path(cwd), []
-    rules: dict[str, list[Pattern]] = {}
+def _user_excludes() -> Path | None:
+    """The file that the user's git configuration names, or git's default place."""
+    home = Path(os.environ.get("HOME") or "/")
+    config = Path(os.environ.get("XDG_CONFIG_HOME") or home / ".config") / "git"
+    for own in (home / ".gitconfig", config / "config"):
+        if own.is_file():
+            core = re.findall(r"(?ims)^[ \t]*\[core\][^\n]*\n(.*?)(?=^[ \t]*\[|\Z)", own.read_text("utf-8", "replace"))
+            named = [m for part in core for m in re.findall(r'(?im)^[ \t]*excludesfile[ \t]*=[ \t]*"?([^"\n]+?)"?[ \t]*$', part)]
+            if named:
+                return Path(re.sub(r"^~(?=/)", str(home), named[-1]))
+    return config / "ignore"
+
+
+class GitIgnores:
+    """What ignore files say of a path: ``.ignore`` of every folder above it, nearest first; inside a repository also
+    ``.gitignore`` up to its root, its ``info/exclude`` and the user's excludes. The first that says anything decides."""
+
+    def __init__(self, user: Path | None = None):
+        self._read: dict[Path, list[Pattern]] = {}
+        self._user = user or _user_excludes()
+
+    def _says(self, file: Path, base: Path, path: Path) -> bool | None:
+        if file not in self._read:
+            self._read[file] = compile_patterns(file.read_text("utf-8", "replace"), str(file)) if file.is_file() else []
+        local = path.relative_to(base).as_posix()
+        hit = [p for p in self._read[file] if p.regex.fullmatch(local) and (not p.folders_only or path.is_dir())]
+        return None if not hit else not hit[-1].keeps
+
+    def hides(self, path: Path) -> bool:
+        above = list(path.parents)
+        files = [(f / ".ignore", f) for f in above]
+        root = next((i for i, f in enumerate(above) if (f / ".git").exists()), None)
+        if root is not None:
+            files += [(f / ".gitignore", f) for f in above[: root + 1]]
+            files += [(above[root] / ".git" / "info" / "exclude", above[root]), (self._user, above[root])]
+        return next((x for file, base in files if (x := self._says(file, base, path)) is not None), False)
+
+
+def walk_markdown(cwd: str | os.PathLike, user_excludes: Path | None = None) -> list[str]:
+    """All ``*.md`` below cwd, sorted: hidden ones too, ``.git`` left out, folder links not followed, git's ignore files heeded."""
+    root, out = Path(cwd).absolute(), []
+    ignores = GitIgnores(user_excludes)
 
     def failed(error: OSError):
         raise error
 
     for folder, folders, names in os.walk(root, onerror=failed):
-        here = Path(folder).relative_to(root).as_posix()
-        for name in (".gitignore", ".ignore"):
-            if name in names:
-                rules.setdefault(here, []).extend(compile_patterns((Path(folder) / name).read_text("utf-8", "replace"), name))
-
-        def hidden(path: str) -> bool:
-            for base in reversed([b for b in rules if b == "." or path.startswith(b + "/")]):
-                local = path if base == "." else path[len(base) + 1 :]
-                hit = [p for p in rules[base] if p.regex.fullmatch(local) and (not p.folders_only or os.path.isdir(root / path))]
-                if hit:
-                    return not hit[-1].keeps
-            return False
-
-        rel = lambda n: n if here == "." else f"{here}/{n}"
-        folders[:] = sorted(f for f in folders if f != ".git" and not os.path.islink(os.path.join(folder, f)) and not hidden(rel(f)))
-        out += [rel(n) for n in names if n.endswith(".md") and not os.path.isdir(os.path.join(folder, n)) and not hidden(rel(n))]
+        here = Path(folder)
+        folders[:] = sorted(f for f in folders if f != ".git" and not (here / f).is_symlink() and not ignores.hides(here / f))
+        out += [(here / n).relative_to(root).as_posix() for n in names if n.endswith(".md") and not (here / n).is_dir() and not ignores.hides(here / n)]
     return sorted(out)
 
 
