@@ -63,7 +63,8 @@ def release(spark: SparkSession) -> None:
 
 
 def trim() -> None:
-    """Gives what a worker has freed back to the system, where its C library can: workers idle on between stages."""
+    """Gives what a worker has freed back to the system, Arrow's pool and the C library's, where that can: workers idle on between stages."""
+    pa.default_memory_pool().release_unused()
     if free := getattr(ctypes.CDLL(None), "malloc_trim", None):
         free(0)
 
@@ -78,7 +79,8 @@ def in_parts(batches: Iterable[pa.RecordBatch], column: int, size: int = 1 << 20
             hi = min(len(text), int(at.searchsorted((int(at[lo - 1]) if lo else 0) + size)) + 1)
             yield batch.slice(lo, hi - lo), [t or b"" for t in text.slice(lo, hi - lo).to_pylist()]
             lo = hi
-    trim()
+        batch = text = at = None
+        trim()
 
 
 def blocks_for(df: DataFrame, per_input_split: int = 2) -> int:

@@ -37,10 +37,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prosemill.llm.common import in_parts
+from prosemill.llm.common import in_parts, trim
 
 SAMPLE_DOCS = 1500
-SLICE = 1 << 20
+SLICE = 1 << 17
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, bits_per_byte double"
 
 
@@ -76,6 +76,7 @@ def _grams(frames):
             rows.append(pd.DataFrame({"lang": lang, "key": keys, "n": n}))
         if rows:
             yield pd.concat(rows)
+    trim()
 
 
 class Model:
@@ -134,40 +135,20 @@ class Model:
         self.bits = bits
 
     def code_lengths(self, texts: list[bytes]) -> np.ndarray:
-        """Bits by text and language over every byte."""
+        """Bits by text and language over every byte; memory follows ``SLICE``, however long a text is."""
         out = np.zeros((len(texts), len(self.langs)))
-        pad = b"   "
-        block: list[int] = []
-        size = 0
-
-        def flush():
-            nonlocal block, size
-            if not block:
-                return
-            raw = np.frombuffer(b"".join(pad + texts[i] for i in block), np.uint8)
-            lens = np.array([3 + len(texts[i]) for i in block])
-            who = np.repeat(np.arange(len(block)), lens)
-            start = np.cumsum(lens) - lens
-            b = self.symbol[raw]
-            ctx = np.zeros(len(b), np.int32)
-            ctx[3:] = (b[:-3] * self.symbols + b[1:-2]) * self.symbols + b[2:-1]
-            live = np.ones(len(b), bool)
-            for j in range(3):
-                live[start + j] = False
-            idx = np.flatnonzero(live)
-            for lo in range(0, len(idx), SLICE):
-                i = idx[lo : lo + SLICE]
-                v = self.bits[self.rows[ctx[i]], b[i]]
-                for k in range(len(self.langs)):
-                    out[block, k] += np.bincount(who[i], v[:, k], len(block))
-            block, size = [], 0
-
-        for i, t in enumerate(texts):
-            block.append(i)
-            size += len(t)
-            if size >= SLICE:
-                flush()
-        flush()
+        raw = np.frombuffer(b"".join(x for t in texts for x in (b"   ", t)), np.uint8)
+        edge = np.cumsum([0] + [3 + len(t) for t in texts])
+        for lo in range(3, len(raw), SLICE):
+            hi = min(lo + SLICE, len(raw))
+            first, last = np.searchsorted(edge, [lo, hi - 1], "right") - 1
+            b = self.symbol[raw[lo - 3 : hi]]
+            here = np.diff(np.clip(edge[first : last + 2], lo, hi))
+            live = np.arange(lo, hi) - np.repeat(edge[first : last + 1], here) >= 3
+            context = ((b[:-3] * self.symbols + b[1:-2]) * self.symbols + b[2:-1])[live]
+            v, who = self.bits[self.rows[context], b[3:][live]], np.repeat(np.arange(len(here)), here)[live]
+            for k in range(len(self.langs)):
+                out[first : last + 1, k] += np.bincount(who, v[:, k], len(here))
         return out
 
 
