@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prosemill.llm.common import blocks_for, materialize, trim
+from prosemill.llm.common import blocks_for, forget, materialize, trim
 
 BLOCK = 1 << 22
 MOST_DOCS = 60_000
@@ -69,6 +69,7 @@ class Block:
 
 def blocks_of(batches: Iterable[pa.RecordBatch], size: int) -> Iterator[tuple[int, Block]]:
     """Cuts (doc_id, text) rows into blocks; a block ends with the row that fills it, whatever the batches."""
+    forget()
     first, number = TaskContext.get().partitionId() << 32, 0
     ids: list[np.ndarray] = []
     known: list[np.ndarray] = []

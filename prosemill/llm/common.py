@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 _LOCAL: dict[str, str] = {}
+#: What a worker process keeps from task to task: its latest encoder.
+KEPT: dict[tuple[str, bool], object] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -62,6 +64,13 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def forget() -> None:
+    """Called where a worker begins work without a tokenizer: what it kept of one (some 100 MB) goes."""
+    if KEPT:
+        KEPT.clear()
+        trim()
+
+
 def trim() -> None:
     """Gives what a worker has freed back to the system, Arrow's pool and the C library's, where that can: workers idle on between stages."""
     pa.default_memory_pool().release_unused()

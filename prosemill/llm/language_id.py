@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prosemill.llm.common import in_parts, trim
+from prosemill.llm.common import forget, in_parts, trim
 
 SAMPLE_DOCS = 1500
 SLICE = 1 << 17
@@ -58,6 +58,7 @@ def held_out(doc_id: Column) -> Column:
 
 def _grams(frames):
     """Counts of folded 4-byte strings by language, each text led by three spaces."""
+    forget()
     fold = folding()
     for pdf in frames:
         rows = []
@@ -197,6 +198,7 @@ def identified(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     column = docs.columns.index("text")
 
     def keep(batches):
+        forget()
         m = _model_of(shared)
         for batch, texts in in_parts(batches, column):
             lang = batch.schema.get_field_index("lang")
@@ -217,6 +219,7 @@ def identify(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.symbol, model.symbols, model.rows, model.bits))
 
     def score(batches):
+        forget()
         m = _model_of(shared)
         names = np.array([*m.langs, "und"], object)
         for part, texts in in_parts(batches, 2):

@@ -19,6 +19,7 @@ from itertools import chain
 import numpy as np
 from tokenizers import Tokenizer
 
+from prosemill.llm.common import KEPT
 from prosemill.llm.words import WordHasher, mix
 
 #: The table of pieces is emptied when it holds so many.
@@ -283,15 +284,12 @@ class Pieces:
         return out
 
 
-_KEPT: dict[tuple[str, bool], Pieces] = {}
-
-
 def pieces_for(path: str, spaced: bool) -> Pieces:
     """One encoder a worker process: its table serves all tasks there, and memory is taken once."""
-    if (path, spaced) not in _KEPT:
-        _KEPT.clear()
-        _KEPT[path, spaced] = Pieces(path, spaced)
-    return _KEPT[path, spaced]
+    if (path, spaced) not in KEPT:
+        KEPT.clear()
+        KEPT[path, spaced] = Pieces(path, spaced)
+    return KEPT[path, spaced]
 
 
 def in_blocks(texts: list, size: int = 1 << 20):
