@@ -39,19 +39,22 @@ from prosemill.llm.wordpieces import default_path, in_blocks, pieces_for
 SHARD_TOKENS = 1 << 20
 #: A pair is replaced as long as it occurs so often in its shard: a rule takes as much room as six to twelve symbols.
 LEAST = 8
+#: Characters of text encoded at once: new words are merged together, the more the cheaper.
+PART = 1 << 21
 MAGIC = b"RPG1"
 _BINS = 20
 FILES = "part int, shard int, n_docs long, n_tokens long, payload binary"
 
 
-def frequent_pairs(key: np.ndarray, inside: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Where pairs stand that occur about ``least`` times or more, or an eighth as often as the most frequent; and these pairs, ascending."""
-    bins = ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _BINS)).astype(np.int32)
-    n = np.bincount(bins[inside], minlength=1 << _BINS)
-    most = int(n.max())
+def frequent_pairs(key: np.ndarray, near: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which of these are pairs that occur about ``least`` times or more, or an eighth as often as the most frequent; and these pairs, ascending.
+
+    ``near`` counts each pair's bin.
+    """
+    most = int(near.max()) if len(near) else 0
     while most >= least:
         # Bins only sift: a bin may be frequent by several pairs, so that none may be left.
-        where = np.flatnonzero((n >= max(least, most >> 3))[bins] & inside)
+        where = np.flatnonzero(near >= max(least, most >> 3))
         line = np.sort(key[where])
         head = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))
         count = np.diff(np.concatenate([head, [len(line)]]))
@@ -62,60 +65,109 @@ def frequent_pairs(key: np.ndarray, inside: np.ndarray, least: int) -> tuple[np.
     return np.zeros(0, np.int64), np.zeros(0, np.uint64)
 
 
+def _bins(key: np.ndarray) -> np.ndarray:
+    return ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _BINS)).view(np.int64)
+
+
 def compress(ids: np.ndarray, ends: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """Symbols, their ends by document, rules, first nonterminal.
 
     Repeats until no pair occurs ``least`` times: each round replaces all pairs that occur
-    at least an eighth as often as the most frequent one.
+    at least an eighth as often as the most frequent one. A pair of symbols only gets rarer
+    after it has come up, so a place whose pair is too rare is not looked at again until one
+    of its two symbols changes.
     """
     seq = ids.astype(np.uint32)
     base = int(seq.max()) + 1 if len(seq) else 1
     last = np.zeros(len(seq), bool)
     last[ends - 1] = True
+    last[-1:] = True
     rules: list[np.ndarray] = []
     made = 0
-    while len(seq) > 1:
-        key = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
-        where, chosen = frequent_pairs(key, ~last[:-1], least)
+    number = np.zeros(1 << _BINS, np.int32)
+    open_ = np.flatnonzero(~last)
+    while len(open_):
+        key = (seq[open_].astype(np.uint64) << np.uint64(32)) | seq[open_ + 1]
+        bins = _bins(key)
+        near = np.bincount(bins, minlength=1 << _BINS)[bins]
+        keep = near >= least
+        open_, key, bins, near = open_[keep], key[keep], bins[keep], near[keep]
+        where, chosen = frequent_pairs(key, near, least)
         if not len(chosen):
             break
         own = key[where]
-        which = np.minimum(np.searchsorted(chosen, own), len(chosen) - 1)
+        number[_bins(chosen)] = np.arange(len(chosen))
+        which = np.minimum(number[bins[where]], len(chosen) - 1)
+        # Another pair of the bin: it is looked up, if it was chosen at all.
+        other = np.flatnonzero(chosen[which] != own)
+        which[other] = np.minimum(np.searchsorted(chosen, own[other]), len(chosen) - 1)
         hit = chosen[which] == own
-        where, which = where[hit], which[hit]
+        where, which = open_[where[hit]], which[hit]
         # In a run of neighbouring occurrences every second one is taken, from the left.
         head = np.concatenate([[True], np.diff(where) != 1])
         start = np.maximum.accumulate(np.where(head, np.arange(len(where)), 0))
         take = (np.arange(len(where)) - start) % 2 == 0
         where, which = where[take], which[take]
         # A pair that its neighbours have used up gets no rule.
-        used, which = np.unique(which, return_inverse=True)
+        used = np.bincount(which, minlength=len(chosen)) > 0
+        which = (np.cumsum(used) - 1)[which]
         seq[where] = (base + made + which).astype(np.uint32)
         last[where] = last[where + 1]
-        gone = np.ones(len(seq), bool)
-        gone[where + 1] = False
-        seq, last = seq[gone], last[gone]
+        live = np.zeros(len(seq), bool)
+        live[open_] = True
+        live[where] = True
+        live[where[where > 0] - 1] = True
+        live &= ~last
+        stays = np.ones(len(seq), bool)
+        stays[where + 1] = False
+        seq, last = seq[stays], last[stays]
+        open_ = np.flatnonzero(live[stays])
         chosen = chosen[used]
         rules.append(np.stack([(chosen >> np.uint64(32)).astype(np.uint32), (chosen & np.uint64(0xFFFFFFFF)).astype(np.uint32)], 1))
-        made += len(used)
+        made += len(chosen)
     table = np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
     return seq, np.flatnonzero(last) + 1, table, base
 
 
-def expansions(rules: np.ndarray, base: int) -> list[np.ndarray]:
-    """The ids below each nonterminal; a rule refers to earlier ones only."""
-    out: list[np.ndarray] = []
+def unfolded(rules: np.ndarray, base: int, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids below each nonterminal, one after the other, and where each begins; a rule refers to earlier ones only."""
+    at = np.cumsum(lengths) - lengths
+    flat = np.zeros(int(lengths.sum()), np.uint32)
+    depth: list[int] = []
     for a, b in rules.tolist():
-        out.append(np.concatenate([out[x - base] if x >= base else np.array([x], np.uint32) for x in (a, b)]))
-    return out
+        depth.append(1 + max(depth[a - base] if a >= base else 0, depth[b - base] if b >= base else 0))
+    depth, rules = np.array(depth, np.int64), rules.astype(np.int64)
+    for d in range(1, int(depth.max()) + 1 if len(depth) else 0):
+        own = np.flatnonzero(depth == d)
+        to = at[own]
+        for side in rules[own].T:
+            deep = side >= base
+            flat[to[~deep]] = side[~deep]
+            child = side[deep] - base
+            n = lengths[child]
+            step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            flat[np.repeat(to[deep], n) + step] = flat[np.repeat(at[child], n) + step]
+            to = to + np.where(deep, lengths[np.where(deep, side - base, 0)], 1)
+    return flat, at
+
+
+def expanded_lengths(rules: np.ndarray, base: int) -> np.ndarray:
+    long: list[int] = []
+    for a, b in rules.tolist():
+        long.append((long[a - base] if a >= base else 1) + (long[b - base] if b >= base else 1))
+    return np.array(long, np.int64)
+
+
+def expansions(rules: np.ndarray, base: int) -> list[np.ndarray]:
+    """The ids below each nonterminal."""
+    flat, at = unfolded(rules, base, expanded_lengths(rules, base))
+    return np.split(flat, at[1:]) if len(at) else []
 
 
 def pack_shard(doc_ids: list, ids: list[np.ndarray], **options) -> bytes:
     sizes = np.array([len(x) for x in ids], np.int64)
     seq, ends, rules, base = compress(np.concatenate(ids), np.cumsum(sizes), **options)
-    long = np.ones(len(rules), np.int64)
-    for i, (a, b) in enumerate(rules.tolist()):
-        long[i] = (long[a - base] if a >= base else 1) + (long[b - base] if b >= base else 1)
+    long = expanded_lengths(rules, base)
     wide = len(rules) + base > 1 << 16
     null = np.array([d is None or d != d for d in doc_ids])
     return b"".join(
@@ -148,9 +200,7 @@ class Shard:
         rule = read("<u4", 2 * rules).reshape(rules, 2)
         self.lengths = read("<u4", rules).astype(np.int64)
         self.symbols = read("<u4" if wide else "<u2", symbols)
-        own = expansions(rule, self.base)
-        self.flat = np.concatenate(own) if own else np.zeros(0, np.uint32)
-        self.at = np.cumsum(self.lengths) - self.lengths
+        self.flat, self.at = unfolded(rule, self.base, self.lengths)
 
     def decode_all(self) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all documents, one after the other, and where each ends."""
@@ -200,7 +250,7 @@ def write_shards(docs: DataFrame, out_dir: str, tokenizer: str | None = None, en
         for pdf in frames:
             texts = pdf["text"].tolist()
             known = [None if pd.isna(d) else int(d) for d in pdf["doc_id"]]
-            for lo, hi in in_blocks(texts):
+            for lo, hi in in_blocks(texts, PART):
                 for d, x in zip(known[lo:hi], pieces.encode(texts[lo:hi]), strict=True):
                     names.append(d)
                     ids.append(np.concatenate([x, end]))

@@ -1,7 +1,7 @@
 """Token ids of whole texts by a vocabulary of the tokenizers library, each distinct piece encoded once.
 
 Texts are worked through as bytes. They are cut where the vocabulary's own pre-tokenizer
-always cuts (spaces, line ends, before full stops and commas); pieces are known by a 64-bit
+always cuts (spaces, line ends, before full stops and commas, between a letter and marks); pieces are known by a 64-bit
 hash, which a table of bounded size maps to their ids. New pieces of plain letters are merged
 here, all at once in arrays, by the ranks of the library's file; the library itself encodes
 every other piece, and as a whole each text in which a cut could be wrong (white space side by
@@ -23,11 +23,16 @@ from prosemill.llm.common import KEPT
 from prosemill.llm.words import WordHasher, mix
 
 #: The table of pieces is emptied when it holds so many.
-MEMO = 300_000
+MEMO = 600_000
 LONGEST = 64
+#: So many words are merged at once.
+ROWS = 1 << 13
 _SPACE = re.compile(r"\s")
 #: What a pre-tokenizer takes for marks: U+001C to U+001F are none of its white space.
 _MARKS = re.compile(r"[\x1c-\x1f]|[^\w\s]|_")
+_LETTER, _AFTER_LETTER = np.zeros((2, 256), bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_AFTER_LETTER[list(b"!#$%&*;:?")] = True
 _PLAIN, _ODD, _ENDS, _STARTS = 0, 1, 2, 4
 
 
@@ -73,19 +78,18 @@ class Merges:
             todo = todo[(self.keys[spot[todo]] != keys[todo]) & (self.keys[spot[todo]] != -1)]
         return spot
 
-    def ids(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of words of one length (a row of bytes each): a matrix with ids to the left, and their numbers.
+    def ids(self, words: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words of these sizes (a row of bytes each, what is behind the word does not matter): a matrix with ids to the left, and their numbers.
 
         Each step replaces the first pair of lowest rank of every word, as the library does.
         """
         n, length = words.shape
-        sym = self.inner[words]
-        sym[:, -1] = self.last[words[:, -1]]
-        size = np.full(n, length)
+        sym, size, rows = self.inner[words], size.copy(), np.arange(n)
+        sym[rows, size - 1] = self.last[words[rows, size - 1]]
         if length == 1:
             return sym, size
         slot = self.look_up(sym[:, :-1].ravel(), sym[:, 1:].ravel()).reshape(n, length - 1)
-        rank = self.rank[slot]
+        rank = np.where(np.arange(length - 1) < size[:, None] - 1, self.rank[slot], self.none)
         live = np.arange(n)
         out = sym.copy()
         while True:
@@ -118,27 +122,36 @@ class Merges:
 
 
 class Table:
-    """64-bit keys to numbers in order of arrival, by open addressing."""
+    """64-bit keys to numbers in order of arrival, by open addressing; it grows when two thirds full."""
 
     def __init__(self, bits: int = 20):
-        self.mask = (1 << bits) - 1
+        self._clear(bits)
+        self.n = 0
+
+    def _clear(self, bits: int) -> None:
+        self.bits, self.mask = bits, (1 << bits) - 1
         self.keys = np.zeros(self.mask + 1, np.uint64)
         self.number = np.full(self.mask + 1, -1, np.int32)
-        self.n = 0
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Their numbers; -1 where they are new."""
         spot = (keys >> np.uint64(20)).astype(np.int64) & self.mask
-        todo = np.flatnonzero((self.keys[spot] != keys) & (self.number[spot] >= 0))
+        number = self.number[spot]
+        todo = np.flatnonzero((self.keys[spot] != keys) & (number >= 0))
         while len(todo):
-            spot[todo] = (spot[todo] + 1) & self.mask
-            todo = todo[(self.keys[spot[todo]] != keys[todo]) & (self.number[spot[todo]] >= 0)]
-        return self.number[spot]
+            spot[todo] = at = (spot[todo] + 1) & self.mask
+            number[todo] = own = self.number[at]
+            todo = todo[(self.keys[at] != keys[todo]) & (own >= 0)]
+        return number
 
     def add(self, keys: np.ndarray) -> None:
         """Distinct new keys."""
         number = self.n + np.arange(len(keys), dtype=np.int32)
         self.n += len(keys)
+        if 3 * self.n > 2 * self.mask:
+            held = np.flatnonzero(self.number >= 0)
+            keys, number = np.concatenate([self.keys[held], keys]), np.concatenate([self.number[held], number])
+            self._clear(max(self.bits + 1, int(3 * self.n // 2).bit_length()))
         spot = (keys >> np.uint64(20)).astype(np.int64) & self.mask
         todo = np.arange(len(keys))
         while len(todo):
@@ -193,13 +206,16 @@ class Pieces:
         self.used += len(ids)
 
     def _learn(self, keys: np.ndarray, raw: np.ndarray, low: np.ndarray, start: np.ndarray, end: np.ndarray, plain: np.ndarray) -> None:
-        """New distinct pieces: plain ones are merged here by length, the rest goes to the library."""
+        """New distinct pieces: plain ones are merged here, those of like lengths together, the rest goes to the library."""
         size = end - start
-        for n in np.unique(size[plain]).tolist():
-            own = np.flatnonzero(plain & (size == n))
-            ids, sizes = self.merges.ids(low[start[own][:, None] + np.arange(n)])
-            self.memo.add(keys[own])
-            self._keep(ids[np.arange(n) < sizes[:, None]].astype(np.uint32), sizes, np.zeros(len(own), np.uint8))
+        like = np.where(plain, (size + 1) // 2, 0)
+        for k in np.unique(like[plain]).tolist():
+            alike = np.flatnonzero(like == k)
+            for lo in range(0, len(alike), ROWS):
+                own = alike[lo : lo + ROWS]
+                ids, sizes = self.merges.ids(low[np.minimum(start[own][:, None] + np.arange(2 * k), len(low) - 1)], size[own])
+                self.memo.add(keys[own])
+                self._keep(ids[np.arange(2 * k) < sizes[:, None]].astype(np.uint32), sizes, np.zeros(len(own), np.uint8))
         rest = np.flatnonzero(~plain)
         if len(rest):
             texts = [raw[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(start[rest].tolist(), end[rest].tolist(), strict=True)]
@@ -216,6 +232,9 @@ class Pieces:
         if self.spaced:
             begin |= space | line
             begin[1:] |= line[:-1]
+        else:
+            # Marks behind a letter are a piece of their own to this kind of vocabulary.
+            begin[1:] |= _AFTER_LETTER[raw[1:]] & _LETTER[raw[:-1]]
         begin[1:] |= gap[:-1]
         begin[:1] = True
         begin &= ~gap

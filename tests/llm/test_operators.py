@@ -194,6 +194,47 @@ def test_repair_goes_on_until_no_pair_is_frequent():
     assert max(pairs.values()) < 6 and max(len(x) for x in token_output.expansions(rules, base)) > 16
 
 
+def test_re_pair_looks_at_changed_places_only(monkeypatch):
+    # Rare pairs and, at the end, pairs that need several rounds: the rare ones are looked at once.
+    ids = np.concatenate([np.random.default_rng(4).permutation(20000), np.tile(np.arange(64), 40)]).astype(np.uint32)
+    seen, find = [], token_output.frequent_pairs
+
+    def spy(key, *rest):
+        seen.append(len(key))
+        return find(key, *rest)
+
+    monkeypatch.setattr(token_output, "frequent_pairs", spy)
+    payload = token_output.pack_shard([1], [ids])
+    assert np.array_equal(token_output.Shard(payload).decode(0), ids) and len(seen) > 3
+    assert sum(seen) < len(ids)
+
+
+def test_marks_behind_letters_are_pieces_of_their_own():
+    rnd = random.Random(6)
+    marks = [chr(c) for c in range(33, 127) if not chr(c).isalnum()]
+    odd = [*marks, *"!#$%&*;:?" * 3, *"abSTzé1 \n", "'s", "'ll", "\u0301", "\u0338", "İ", "\u037e"]
+    texts = [a + b + c for a in "ab\u00e9İ1 " for b in marks for c in [*marks, "s", " ", "\u0301", ""]]
+    texts += ["".join(rnd.choice(odd) for _ in range(rnd.randint(0, 12))) for _ in range(6000)]
+    t, p = Tokenizer.from_file(default_path("word_bpe_49k.json")), Pieces(default_path("word_bpe_49k.json"), False)
+    t.encode_special_tokens = True
+    for lo in range(0, len(texts), 500):
+        own = texts[lo : lo + 500]
+        assert [x.tolist() for x in p.encode(own)] == [e.ids for e in t.encode_batch(own, add_special_tokens=False)]
+    start, end = p._cut(np.frombuffer(b"word$$$ next!", np.uint8))
+    assert list(zip(start.tolist(), end.tolist(), strict=True)) == [(0, 4), (4, 7), (8, 12), (12, 13)]
+
+
+def test_piece_table_grows():
+    from prosemill.llm import wordpieces
+
+    keys = wordpieces.mix(np.arange(1, 200, dtype=np.uint64))
+    table = wordpieces.Table(bits=4)
+    for new in np.split(keys[:190], [3, 12, 13, 150]):
+        assert (table.find(new) < 0).all()
+        table.add(new)
+    assert table.find(keys).tolist() == [*range(190), *[-1] * 9]
+
+
 @pytest.mark.parametrize(("name", "spaced"), [("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)])
 def test_pieces_equal_the_library(name, spaced):
     """Odd characters side by side, all of U+0000 to U+024F and marks, and many plain words."""
